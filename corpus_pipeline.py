@@ -1,8 +1,61 @@
-"""The stages from raw documents to packed sequences, each one of the numbered operators."""
+"""From raw documents to packed training sequences: five stages, each one of the numbered operators.
 
+Each stage works on all rows that the one before kept. Between stages the documents are written as Parquet in the shared
+folder and read again, so a lost executor never sends the work back past the stage it is in.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tidemark.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing
+from tidemark.llm.common import RID, Workspace, with_rid
+from tidemark.llm.queries import TOKENIZER, read, vocabulary
+
+#: SQL can't express naive Bayes over hashed n-grams nor tokenisation; tests/llm holds a brute-force version.
 ORACLE_SQL = None
-STAGES = []
+ROW = "__stage_row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """All columns and a unique row number, the doc_id itself where it is unique."""
+    return with_rid(docs, "doc_id", Workspace(docs.sparkSession, "stage"), *docs.columns)[0].withColumnRenamed(RID, ROW)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that have no language: without a letter, or with a score under 0.5."""
+    return language_id.accepted(docs, language_id.fit(language_id.training_rows(docs)))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, the one with the smallest id stays."""
+    rows = _numbered(docs)
+    kept = exact_dedup.exact_groups(rows, ROW).where("kept").select(ROW)
+    return rows.join(kept, ROW, "left_semi").drop(ROW)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by the similarity of their shingles, the one with the smallest id stays."""
+    rows = _numbered(docs)
+    kept = jaccard_join.similar_groups(rows, ROW).where(f"component_id = {ROW}").select(ROW)
+    return rows.join(kept, ROW, "left_semi").drop(ROW)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that leak a benchmark item."""
+    return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in sequences."""
+    return packing.pack(docs, vocabulary(TOKENIZER))
+
+
+STAGES = [("language id", known_language), ("exact dedup", exact_copies), ("n-gram Jaccard", near_copies), ("decontamination", no_benchmark), ("packing", packed)]
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, ws = read(spark, sf_dir, "documents"), Workspace(spark, "pipeline")
+    for name, stage in STAGES:
+        docs = ws.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: White space of the contracts: blank and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
-RID = "_rid"
+RID = "__row_number"
 
 _own_dir: dict[str, str] = {}
 
@@ -69,9 +69,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def with_rid(docs: DataFrame, id_col: str, ws: Workspace, *keep: str) -> tuple[DataFrame, bool]:
-    """``docs`` cut to ``keep`` with a unique non-null long ``_rid`` beside the id.
+    """``docs`` cut to ``keep`` with a unique non-null long ``__row_number`` beside the id.
 
-    Also returns whether ``_rid`` is the id, as it is where ids are unique integers. If ids are null or repeated the rows are
+    Also returns whether ``__row_number`` is the id, as it is where ids are unique integers. If ids are null or repeated the rows are
     written once with a number of their own, so that every row still counts as a row.
     """
     cols = [F.col(c) for c in dict.fromkeys([id_col, *keep])]

@@ -9,6 +9,7 @@ rows of the matrix at the text's features are summed.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ SLICE_CHARS = 1 << 20
 _BLANK = 32
 
 
+@lru_cache(maxsize=1)
 def _letters() -> np.ndarray:
     """For each code point itself if it is a letter, else a blank."""
     return np.fromiter((c if chr(c).isalpha() else _BLANK for c in range(0x110000)), np.uint32, 0x110000)
@@ -97,6 +99,15 @@ class Model:
                     np.add.at(total[:, k], o[begin], np.add.reduceat(self.log_prob[k][f], begin, dtype=np.float64))
         return total, letter
 
+    def best(self, features: Features, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The language of each text, UNKNOWN where it has no letter, and its posterior."""
+        names = np.array([*self.languages, UNKNOWN], object)
+        if not self.languages:
+            return np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
+        total, letter = self.scores(features, texts)
+        score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        return names[np.where(letter, total.argmax(1), -1)], np.where(letter, score, 0.0)
+
 
 def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
     """A model of the rows' languages; rows with null text or language are left out.
@@ -136,32 +147,39 @@ def _count(batches):
 
 def _predict(model):
     def run(batches):
-        features, m = Features(), model.value
-        names = np.array([*m.languages, UNKNOWN], object)
+        features = Features()
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            total, letter = m.scores(features, texts)
-            if m.languages:
-                best = total.argmax(1)
-                score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-            else:
-                best, score, letter = np.zeros(len(texts), int), np.zeros(len(texts)), np.zeros(len(texts), bool)
-            best = np.where(letter, best, len(names) - 1)
-            rest = [batch.column(c) for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(names[best], pa.string()), pa.array(np.where(letter, score, 0.0))], names=[c for c in batch.schema.names if c != "text"] + ["lang_pred", "score"])
+            lang, score = model.value.best(features, [t or "" for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lang, pa.string()), pa.array(score)], names=["id", "lang_pred", "score"])
 
     return run
 
 
+def _accept(model, text_col: str, least: float):
+    def run(batches):
+        features = Features()
+        for batch in batches:
+            lang, score = model.value.best(features, [t or "" for t in batch.column(text_col).to_pylist()])
+            yield batch.filter(pa.array((lang != UNKNOWN) & (score >= least), pa.bool_()))
+
+    return run
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows, with all columns, whose text has a language with at least this score. No shuffle."""
+    return docs.mapInArrow(_accept(docs.sparkSession.sparkContext.broadcast(model), text_col, least), docs.schema)
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score) per row; `und` with score 0 where the text is null or has no letter, or no language was learned.
 
     The score is the posterior of the predicted language. Of equal scores the first language by name is taken. Null
     and repeated ids are passed on. Other columns are not read. No shuffle.
     """
-    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predict(shared), f"{id_col} {rows.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+    found = rows.mapInArrow(_predict(shared), f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    return found.withColumnRenamed("id", id_col)
 
 
 def fold(id_col: str = "doc_id") -> Column:
@@ -169,7 +187,11 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))
 
 
+def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    return docs.where(F.coalesce(fold(id_col) != 2, F.lit(True)))
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learns from the rows that are not held out and predicts all rows: (id, held_out, lang_pred, score)."""
-    model = fit(docs.where(F.coalesce(fold(id_col) != 2, F.lit(True))), text_col, lang_col)
+    model = fit(training_rows(docs, id_col), text_col, lang_col)
     return predict(docs, model, id_col, text_col).select(id_col, F.coalesce(fold(id_col) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, jaccard_join, language_id, packing, secret_scan, token_counts
+from tidemark.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, secret_scan, token_counts
 
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -42,6 +42,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(read(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
