@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, secret_scan, substring_dedup, token_counts
+from tidemark.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, secret_scan, substring_dedup, token_counts, url_filter
 
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -42,6 +43,25 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def dated_list(hosts: DataFrame) -> DataFrame:
+    """A list by rule, as the tables have none: entries for hosts, domains and first path segments, dated by their letters."""
+    mark = "(ascii(substring(p, 3, 1)) * 131 + ascii(substring(p, 5, 1)) * 17 + length(p) * 7)"
+    host = hosts.select("host").where("host <> ''").distinct().withColumnRenamed("host", "p")
+    domain = host.selectExpr("concat(split_part(p, '.', -2), '.', split_part(p, '.', -1)) AS p").where("p not like '.%'").distinct()
+    path = hosts.selectExpr("concat(host, '/', split_part(path, '/', 2)) AS p").where("p not like '/%' and p not like '%/'").distinct()
+    p = host.where(f"{mark} % 3 < 2").unionByName(domain.where(f"{mark} % 7 = 1")).unionByName(path.where(f"{mark} % 5 = 0"))
+    turns = [("add", 5, 400, 0), ("remove", 11, 500, 30), ("add", 3, 730, 200)]
+    days = ", ".join(f"struct('{a}' AS action, date_add(date'2024-01-01', CAST({mark} * {k} % {m} + {b} AS int)) AS day)" for a, k, m, b in turns)
+    return p.selectExpr("p AS pattern", f"inline(array({days}))")
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as captures over two years, judged by a dated list made from their own hosts."""
+    pages = read(spark, sf_dir, "pages").selectExpr("page_id", "url", "date_add(date'2024-01-01', CAST(page_id * 7919 % 730 AS int)) AS fetched_on")
+    hosts = pages.select(url_filter.host_of(F.col("url")).alias("host"), url_filter.path_of(F.col("url")).alias("path"))
+    return url_filter.judge(pages, dated_list(hosts))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_groups(read(spark, sf_dir, "documents"))
 
@@ -60,12 +80,55 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
     "op5_substring_dedup": op5_substring_dedup,
+    "op7_url_filter": op7_url_filter,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
+_ASSIGN, _ACCESS, _HEX = secret_scan.ASSIGN.replace("'", "''"), "AKIA[A-Z0-9]+", "[0-9a-f]{24,}"
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_url_filter": r"""
+        WITH u AS (
+            SELECT page_id, DATE '2024-01-01' + CAST(page_id * 7919 % 730 AS INT) AS day,
+                lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)', 1)) AS host,
+                regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)', 2) AS path FROM pages),
+        p AS (SELECT p, ascii(substring(p, 3, 1)) * 131 + ascii(substring(p, 5, 1)) * 17 + length(p) * 7 AS m, kind FROM (
+            SELECT DISTINCT host AS p, 1 AS kind FROM u WHERE host <> ''
+            UNION ALL SELECT DISTINCT split_part(host, '.', -2) || '.' || split_part(host, '.', -1), 2 FROM u WHERE host LIKE '%.%'
+            UNION ALL SELECT DISTINCT host || '/' || split_part(path, '/', 2), 3 FROM u WHERE host <> '' AND split_part(path, '/', 2) <> '')),
+        e AS (SELECT p, unnest([1, 0, 1]) AS on_, unnest([m * 5 % 400, m * 11 % 500 + 30, m * 3 % 730 + 200]) AS n FROM p
+            WHERE kind = 1 AND m % 3 < 2 OR kind = 2 AND m % 7 = 1 OR kind = 3 AND m % 5 = 0),
+        d AS (SELECT p, DATE '2024-01-01' + CAST(n AS INT) AS day, min(on_) AS on_ FROM e GROUP BY ALL),
+        -- the last entry up to the day of the capture says whether the pattern is on the list
+        a AS (SELECT page_id, p, arg_max(on_, d.day) AS on_, u.day AS day FROM u JOIN d ON d.day <= u.day
+            AND (u.host = p OR u.host LIKE '%.' || p OR (u.host || regexp_replace(u.path, '/+$', '') || '/') LIKE p || '/%') GROUP BY page_id, p, u.day),
+        -- listed since: the first entry that adds it after the last one that removes it
+        b AS (SELECT a.page_id, a.p, (SELECT min(x.day) FROM d x WHERE x.p = a.p AND x.on_ = 1 AND x.day <= a.day AND x.day > coalesce(
+            (SELECT max(y.day) FROM d y WHERE y.p = a.p AND y.on_ = 0 AND y.day <= a.day), DATE '1900-01-01')) AS since FROM a WHERE on_ = 1),
+        c AS (SELECT page_id, count(*) AS n, first(p ORDER BY length(p) DESC, p) AS pattern, first(since ORDER BY length(p) DESC, p) AS since FROM b GROUP BY page_id)
+        SELECT u.page_id, host, c.page_id IS NOT NULL AS blocked, pattern, since, coalesce(n, 0) AS n_patterns FROM u LEFT JOIN c USING (page_id)""",
+    "op3_secret_scan": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+        f AS (
+            SELECT doc_id, 1 AS k, 'assign' AS kind, 6 AS least, string_split_regex(t, '{_ASSIGN}') AS s, regexp_extract_all(t, '{_ASSIGN}') AS h, regexp_extract_all(t, '{_ASSIGN}', 2) AS v FROM d
+            UNION ALL SELECT doc_id, 2, 'access', 20, string_split_regex(t, '{_ACCESS}'), regexp_extract_all(t, '{_ACCESS}'), regexp_extract_all(t, '{_ACCESS}') FROM d
+            UNION ALL SELECT doc_id, 3, 'hex', 24, string_split_regex(t, '{_HEX}'), regexp_extract_all(t, '{_HEX}'), regexp_extract_all(t, '{_HEX}') FROM d
+            UNION ALL SELECT doc_id, 4, 'ident', 20, string_split_regex(t, 'A(?:SIA|ROA|IDA)[A-Z0-9]+'), regexp_extract_all(t, 'A(?:SIA|ROA|IDA)[A-Z0-9]+'), regexp_extract_all(t, 'A(?:SIA|ROA|IDA)[A-Z0-9]+') FROM d
+            UNION ALL SELECT doc_id, 5, 'secret', 40, string_split_regex(t, '[A-Za-z0-9/+]{{40,}}'), regexp_extract_all(t, '[A-Za-z0-9/+]{{40,}}'), regexp_extract_all(t, '[A-Za-z0-9/+]{{40,}}') FROM d
+            UNION ALL SELECT doc_id, 6, 'endpoint', 11, string_split_regex(t, 'https?://[A-Za-z0-9.-]+(?::[0-9]+)?'), regexp_extract_all(t, 'https?://[A-Za-z0-9.-]+(?::[0-9]+)?'), regexp_extract_all(t, 'https?://[A-Za-z0-9.-]+(?::[0-9]+)?') FROM d),
+        g AS (SELECT doc_id, k, kind, least, unnest(range(1, len(h) + 1)) AS i, unnest(list_transform(s[:len(h)], lambda x: length(x))) AS b, unnest(list_transform(h, lambda x: length(x))) AS n, unnest(list_transform(v, lambda x: length(x))) AS v FROM f),
+        x AS (SELECT doc_id, k, kind, CAST(sum(b + n) OVER w - n AS BIGINT) AS s, CAST(sum(b + n) OVER w AS BIGINT) AS e, v, least FROM g WINDOW w AS (PARTITION BY doc_id, k ORDER BY i)),
+        y AS (SELECT * FROM x WHERE CASE WHEN k = 5 THEN v = 40 ELSE v >= least END),
+        z AS (SELECT * FROM y WHERE k <= 3 OR (
+            NOT EXISTS (SELECT 1 FROM y o WHERE o.doc_id = y.doc_id AND o.k <= 3 AND o.s < y.e AND y.s < o.e)
+            AND (k = 5 OR EXISTS (SELECT 1 FROM y o WHERE o.doc_id = y.doc_id AND (o.k, o.s) <> (y.k, y.s) AND o.k IN (1, 3, 5) AND greatest(o.s, y.s) - least(o.e, y.e) <= 400))
+            AND (k = 4 OR EXISTS (SELECT 1 FROM y o WHERE o.doc_id = y.doc_id AND (o.k, o.s) <> (y.k, y.s) AND o.k IN (2, 4) AND greatest(o.s, y.s) - least(o.e, y.e) <= 400)))),
+        r AS (SELECT doc_id, count(*) FILTER (k = 1) AS a, count(*) FILTER (k = 2) AS c, count(*) FILTER (k = 3) AS h, count(*) FILTER (k > 3) AS n,
+            string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k <= 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) AS spans FROM z GROUP BY doc_id)
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n, 0) AS n_linked
+        FROM d LEFT JOIN r USING (doc_id)""",
     "op10_exact_dedup": r"""
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
