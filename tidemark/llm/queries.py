@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, jaccard_join, language_id, packing, secret_scan, substring_dedup, token_counts, url_filter
+from tidemark.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, secret_scan, substring_dedup, token_counts, url_filter
 
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -43,6 +43,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.first_lines(read(spark, sf_dir, "documents"))
+
+
 def dated_list(hosts: DataFrame) -> DataFrame:
     """A list by rule, as the tables have none: entries for hosts, domains and first path segments, dated by their letters."""
     mark = "(ascii(substring(p, 3, 1)) * 131 + ascii(substring(p, 5, 1)) * 17 + length(p) * 7)"
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_token_counts": op4_token_counts,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
