@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import RID, Workspace, mix, shuffle_partitions, utf8, with_rid
+from tidemark.llm.common import RID, Workspace, by_bytes, mix, shuffle_partitions, utf8, with_rid
 from tidemark.llm.components import link_lists
 from tidemark.llm.shingles import shingle_sets
 
@@ -38,10 +38,15 @@ def needed(x: Column, y: Column, percent: int) -> Column:
     return F.ceil((x + y) * percent / (100 + percent)).cast("long")
 
 
+#: Text worked on at once in a task.
+SLICE_BYTES = 4 << 20
+
+
 def _sets(batches, k: int):
     for batch in batches:
-        data, at = utf8(batch.column("text"))
-        yield batch.column("rid").to_numpy(), shingle_sets(data, at, k)
+        rids = batch.column("rid").to_numpy()
+        for lo, hi in by_bytes(batch.column("text"), SLICE_BYTES):
+            yield rids[lo:hi], shingle_sets(*utf8(batch.column("text")[lo:hi]), k)
 
 
 def _features(k: int):
@@ -223,8 +228,8 @@ def _similar(percent: int):
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("items_a").to_pylist(), batch.column("items_b").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(batch.column("items_a"), batch.column("items_b")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))

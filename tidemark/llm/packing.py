@@ -16,7 +16,11 @@ The plan says which rank interval of which length lies where. Ranks come from a
 
 from __future__ import annotations
 
+import json
 import zlib
+from functools import lru_cache
+from pathlib import Path
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,22 +34,75 @@ from tidemark.llm.words import Ragged, WordNumbers, pieces_of
 CAPACITY = 2048
 SEPARATOR = 0
 #: Slice of text worked on at once, and words remembered in a worker.
-SLICE_BYTES, REMEMBERED = 4 << 20, 600_000
+SLICE_BYTES, REMEMBERED = 4 << 20, 1_000_000
+
+
+#: Byte-level alphabets give printable Latin-1 bytes as themselves and the others, in order, from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: b for b in _PRINTABLE} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
 
 
 class IdMaker:
-    """Token ids of texts by a tokenizers file whose pre-tokeniser never joins text over ASCII white space."""
+    """Token ids of texts by a tokenizers file whose pre-tokeniser never joins text over ASCII white space.
+
+    New words are encoded once in a worker. A word of letters alone is one pre-token, so it can skip the normaliser and
+    the pre-tokeniser, which take most of the time: many such words are encoded as one text, and the model's mark of a
+    word's end says where each one's ids end. That needs the pipeline of this kind of file; for any other all words take
+    the slow way.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(Path(path).read_text())
+        steps = [x["type"] for x in (told["normalizer"] or {}).get("normalizers", [])], [x["type"] for x in (told["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        end = told["model"].get("end_of_word_suffix")
+        self.fast = None
+        if steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and end and not told["post_processor"]:
+            self.fast = Tokenizer(self.tokenizer.model)
+            self.fast.pre_tokenizer = WhitespaceSplit()
+            self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.is_end[[n for token, n in told["model"]["vocab"].items() if token.endswith(end)]] = True
+            self.marks = {m: self._encode([m])[0] for m in (b",", b".")}
         self.words, self.ids = WordNumbers(), Ragged()
 
+    def _encode(self, words: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    @staticmethod
+    def _letters(word: bytes) -> str | None:
+        """The word as its byte-level letters if it is one pre-token of lower-casable letters, else None."""
+        if word.isalpha():
+            return word.decode().lower()
+        text = word.decode()
+        low = text.lower()
+        if not text.isalpha() or max(text) > "\u024f" or len(low) != len(text) or not is_normalized("NFC", text):
+            return None
+        return low.encode().decode("latin-1").translate(_ALPHABET)
+
     def _learn(self) -> None:
         fresh, self.words.fresh = self.words.fresh, []
-        made = self.tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False)
-        self.ids.extend([e.ids for e in made])
+        made: list = [None] * len(fresh)
+        alone, slow = [], []
+        for k, word in enumerate(fresh):
+            mark = word[-1:] if self.fast and len(word) > 1 and word[-1:] in self.marks else b""
+            letters = self._letters(word[:-1] if mark else word) if self.fast else None
+            if letters is None:
+                slow.append(k)
+            else:
+                alone.append((k, letters, self.marks.get(mark, [])))
+        if alone:
+            ids = np.array(self.fast.encode_batch_fast([" ".join(x for _, x, _ in alone)], add_special_tokens=False)[0].ids)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(alone):
+                raise ValueError("the tokeniser's words don't end where they should")
+            for (k, _, mark), x in zip(alone, np.split(ids, ends[:-1])):
+                made[k] = x.tolist() + mark
+        for k, x in zip(slow, self._encode([fresh[k] for k in slow])):
+            made[k] = x
+        self.ids.extend(made)
 
     def __call__(self, text: bytes) -> np.ndarray:
         out = []
@@ -60,12 +117,18 @@ class IdMaker:
         return np.concatenate(out) if len(out) != 1 else out[0]
 
 
+@lru_cache(maxsize=2)
+def id_maker(path: str) -> IdMaker:
+    """One for each file in a worker, so that its words serve all tasks."""
+    return IdMaker(path)
+
+
 def _pieces(path: str, capacity: int, separator: int):
     """Per piece of each document: place, length, checksum, and its number within this task among pieces of its length."""
     kind = pa.schema([("rid", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("number", pa.int64())])
 
     def run(batches):
-        ids_of, seen, part = IdMaker(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        ids_of, seen, part = id_maker(path), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             for lo, hi in by_bytes(batch.column("text"), SLICE_BYTES):
                 data, at = utf8(batch.column("text")[lo:hi])

@@ -77,9 +77,19 @@ class Counter:
         return total
 
 
+_counters: dict[str, Counter] = {}
+
+
+def _counter(model: str, single: list[bytes]) -> Counter:
+    """One for each model in a worker, so that its words serve all tasks."""
+    if model not in _counters:
+        _counters[model] = Counter(model, single)
+    return _counters[model]
+
+
 def _counts(model: str, single):
     def run(batches):
-        count = Counter(model, single.value)
+        count = _counter(model, single.value)
         for batch in batches:
             for lo, hi in by_bytes(batch.column("text"), SLICE_BYTES):
                 data, at = utf8(batch.column("text")[lo:hi])
