@@ -47,9 +47,9 @@ def trimmed(text: Column) -> Column:
 
 
 def catalog_name(name: Column) -> Column:
-    """The form in which catalogue and observed names are compared; null counts as empty."""
+    """The form in which catalogue and observed names are compared; null counts as empty. A trade mark sign separates words."""
     text = decomposed(F.lower(F.coalesce(name, F.lit(""))))
-    text = F.regexp_replace(F.regexp_replace(text, "[™®©“”\"]", ""), "[’‘`]", "'")
+    text = F.regexp_replace(F.regexp_replace(text, "[®©“”\"]", ""), "[’‘`]", "'")
     text = F.regexp_replace(F.regexp_replace(text, "[–—]", "-"), r"(?U)\s*&\s*", " and ")
     return F.trim(F.regexp_replace(text, r"[^a-z0-9'\-]+", " "))
 

@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.config import Settings
 from tidemark.functions import names, numbers, times
@@ -79,7 +78,7 @@ def aliases(rows: DataFrame) -> DataFrame:
     return last.select("park_id", "alias", F.col("x.canonical_attraction_id").alias("canonical_id"), "x.canonical_name", F.coalesce("x.category", F.lit("attraction")).alias("category"))
 
 
-SCHEDULE = T.StructType.fromDDL("id string, name string, timezone string, schedule array<struct<date: string, type: string, openingTime: string, closingTime: string>>")
+SCHEDULE = "id string, name string, timezone string, schedule array<struct<date: string, type: string, openingTime: string, closingTime: string>>"
 
 
 def schedules(documents: DataFrame, json_col: str = "json", park_col: str = "park_id", settings: Settings = Settings()) -> DataFrame:
@@ -93,7 +92,7 @@ def schedules(documents: DataFrame, json_col: str = "json", park_col: str = "par
 
 
 RIDE = "struct<id: string, name: string, is_open: boolean, wait_time: double, last_updated: string>"
-FEED = T.StructType.fromDDL(f"lands array<struct<name: string, rides: array<{RIDE}>>>, rides array<{RIDE}>")
+FEED = f"lands array<struct<name: string, rides: array<{RIDE}>>>, rides array<{RIDE}>"
 
 
 def queue_feed(documents: DataFrame, json_col: str = "json", park_col: str = "park_id") -> DataFrame:

@@ -20,7 +20,7 @@ def observation_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def identified(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Typed rows with an id of their contents. Late rows are kept: age is a flag, never a reason to drop."""
-    return typed(rows, settings).withColumn("row_id", content_id(*[F.coalesce(F.col(c), F.lit("")) for c in [*IDENTITY, "is_open", "wait_time_minutes"]]))
+    return typed(rows.withColumn("row_id", content_id(*[F.coalesce(F.col(c), F.lit("")) for c in [*IDENTITY, "is_open", "wait_time_minutes"]])), settings)
 
 
 def append_new(target: str):
