@@ -13,9 +13,10 @@ from tidemark.sources.files import RAW_COLUMNS, typed
 
 
 def observation_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of the 14 columns as they land."""
+    """Files of the 14 columns as they land, without empty rows."""
     schema = ", ".join(f"{c} string" for c in RAW_COLUMNS)
-    return spark.readStream.schema(schema).options(header=True, multiLine=True, quote='"', escape='"').csv(folder)
+    rows = spark.readStream.schema(schema).options(header=True, multiLine=True, quote='"', escape='"').csv(folder)
+    return rows.where(F.coalesce(*RAW_COLUMNS).isNotNull())
 
 
 def identified(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -31,7 +32,7 @@ def append_new(target: str):
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["row_id"]).withColumn("service_date", F.col("snapshot_park_date"))
+        fresh = batch.dropDuplicates(["row_id"]).withColumn("service_date", F.coalesce(F.nullif("snapshot_park_date", F.lit("")), F.lit("unknown")))
         try:
             stored = spark.read.parquet(target)
         except Exception as e:
