@@ -63,10 +63,9 @@ def test_repeated(repeated):
     assert len(got) == 6 and sorted(r.component_id or -1 for r in got) == [-1, 1, 1, 1, 1, 1]
 
 
-@pytest.mark.parametrize("rare,seed", [(16, 1), (2, 2), (2, 3)])
-def test_near_copies(spark, monkeypatch, rare, seed):
+@pytest.mark.parametrize("bits,seed", [(24, 1), (24, 2), (6, 3)])
+def test_near_copies(spark, bits, seed):
     """A large group of near copies, smaller ones, shared passages, chains of links and sizes close to the threshold."""
-    monkeypatch.setattr(jaccard_join, "RARE", rare)
     rng = random.Random(seed)
     words = lambda n: [f"w{rng.randrange(400)}" for _ in range(n)]
 

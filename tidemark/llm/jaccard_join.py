@@ -25,9 +25,9 @@ from tidemark.llm.components import link_lists
 from tidemark.llm.shingles import shingle_sets
 
 WORDS, PERCENT = 4, 85
-#: Frequent shingles that are told apart in the order at most; the threshold of being frequent follows from it and the
-#: total count, so that no more can exist. Those below stand first, in the order of their hashes.
-FREQUENT, RARE = 1 << 21, 16
+#: Shingles are ordered by how often the bucket of their hash occurs in the corpus: so many bits of the hash, a byte for each
+#: bucket, whatever the corpus. Any order gives the same links; one that has rare shingles first gives short lists.
+BUCKET_BITS = 24
 BITS = 1024
 #: Beyond so many documents to be compared, they are joined by a shuffle and not by a broadcast of their numbers.
 BROADCAST_ROWS = 2_000_000
@@ -67,16 +67,22 @@ def _features(k: int):
     return run
 
 
-def _tallies(k: int, parts: int):
-    """For each range of shingles: the upper 32 bits of those in this batch, and counts where more than one."""
+def _edge(part: int, parts: int, bits: int) -> int:
+    """The first bucket of a range of buckets."""
+    return -(-(part << bits) // parts)
+
+
+def _tallies(k: int, parts: int, bits: int):
+    """For each range of buckets: those of the shingles in this batch, and counts where more than one."""
+    shift = np.uint64(64 - bits)
 
     def run(batches):
         for _, sets in _sets(batches, k):
             held = list(sets)
-            token, count = np.unique((np.concatenate(held) >> np.uint64(32)).astype(np.uint32) if held else np.zeros(0, np.uint32), return_counts=True)
+            token, count = np.unique((np.concatenate(held) >> shift).astype(np.uint32) if held else np.zeros(0, np.uint32), return_counts=True)
             if not len(token):
                 continue
-            part = (token.astype(np.uint64) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+            part = (token.astype(np.uint64) * np.uint64(parts) >> np.uint64(bits)).astype(np.int32)
             edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
             rows = []
             for a, b in zip(edge, np.r_[edge[1:], len(token)]):
@@ -88,55 +94,45 @@ def _tallies(k: int, parts: int):
     return run
 
 
-def _merge(least: int):
-    """Counts of the shingles of the ranges in this partition, as far as they are frequent. Merged as they come."""
-
-    def add(a, b):
-        token = np.concatenate([a[0], b[0]])
-        order = np.argsort(token, kind="stable")
-        token = token[order]
-        edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        return token[edge], np.add.reduceat(np.concatenate([a[1], b[1]])[order], edge)
+def _levels(parts: int, bits: int):
+    """The levels of the buckets of each range: the logarithm of the count, in quarters of a doubling."""
 
     def run(batches):
-        total, held, size = (np.zeros(0, np.uint32), np.zeros(0, np.int64)), [], 0
+        counts: dict[int, np.ndarray] = {}
         for batch in batches:
-            for tokens, more in zip(batch.column("tokens").to_pylist(), batch.column("more").to_pylist()):
-                token = np.frombuffer(tokens, np.uint32)
+            for part, tokens, more in zip(*(batch.column(c).to_pylist() for c in ("part", "tokens", "more"))):
+                lo = _edge(part, parts, bits)
+                held = counts.setdefault(part, np.zeros(_edge(part + 1, parts, bits) - lo, np.int64))
                 extra = np.frombuffer(more, np.uint32).reshape(2, -1)
-                held += [(token, np.ones(len(token), np.int64)), (extra[0], extra[1].astype(np.int64))]
-                size += len(token)
-            if size > max(1 << 20, len(total[0])):
-                total, held, size = add(total, tuple(map(np.concatenate, zip(*held)))), [], 0
-        if held:
-            total = add(total, tuple(map(np.concatenate, zip(*held)))) if size else total
-        keep = total[1] >= least
-        yield pa.RecordBatch.from_arrays([pa.array(total[0][keep].astype(np.int64)), pa.array(total[1][keep])], names=["token", "n"])
+                held[np.frombuffer(tokens, np.uint32) - lo] += 1  # each bucket once in a row
+                held[extra[0] - lo] += extra[1]
+        for part, held in counts.items():
+            level = np.round(4 * np.log2(1 + held)).astype(np.uint8).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([level], pa.binary())], names=["part", "levels"])
 
     return run
 
 
-def frequent_shingles(texts: DataFrame, k: int, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """The frequent shingles (upper halves, sorted) and their counts over all documents.
+def frequency_levels(texts: DataFrame, k: int, bits: int = BUCKET_BITS) -> np.ndarray:
+    """The level of each bucket of shingles, from counts over all documents. The driver gets a byte for each bucket.
 
-    What counts as frequent grows with the corpus so that at most FREQUENT shingles can be: their counts add up to no
-    more than ``total``. Each task counts its own batch before anything is shuffled.
+    Each task counts its own batches before anything is shuffled.
     """
     parts = shuffle_partitions(texts.sparkSession)
-    least = max(RARE, -(-total // FREQUENT))
-    rows = texts.mapInArrow(_tallies(k, parts), "part int, tokens binary, more binary").repartition(parts, "part")
-    found = rows.mapInArrow(_merge(least), "token long, n long").toArrow()
-    token, n = found["token"].to_numpy(), found["n"].to_numpy()
-    order = np.argsort(token)
-    return token[order].astype(np.uint32), n[order]
+    rows = texts.mapInArrow(_tallies(k, parts, bits), "part int, tokens binary, more binary").repartition(parts, "part")
+    levels = np.zeros(1 << bits, np.uint8)
+    for row in rows.mapInArrow(_levels(parts, bits), "part int, levels binary").toLocalIterator():
+        lo = _edge(row.part, parts, bits)
+        levels[lo : lo + len(row.levels)] = np.frombuffer(row.levels, np.uint8)
+    return levels
 
 
-def _postings(k: int, percent: int, frequent):
+def _postings(k: int, percent: int, levels, bits: int):
     """Entries of the index: shingle, position, size, the set's own hash and the document, of each set's prefix."""
     one = np.uint64(0x8CB92BA72F3D8DD7)
 
     def run(batches):
-        token, count = frequent.value
+        level = levels.value
         for rids, sets in _sets(batches, k):
             held = {}
             for rid, s in zip(rids.tolist(), sets):
@@ -147,13 +143,8 @@ def _postings(k: int, percent: int, frequent):
                 if (n, own) in held and held[n, own][0] <= rid:
                     continue  # an equal set of this batch stands for it
                 prefix = n - -(-n * percent // 100) + 1
-                if len(token):
-                    upper = (s >> np.uint64(32)).astype(np.uint32)
-                    at = np.minimum(np.searchsorted(token, upper), len(token) - 1)
-                    df = np.where(token[at] == upper, count[at], 0)
-                    order = np.argsort(df, kind="stable")[:prefix] if df.any() else np.arange(prefix)
-                    s = s[order]
-                held[n, own] = (rid, s[:prefix])
+                order = np.argsort(level[(s >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
+                held[n, own] = (rid, s[order[:prefix]])
             if not held:
                 continue
             sizes = np.array([len(p) for _, p in held.values()])
@@ -250,7 +241,7 @@ def _join_ends(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return pairs
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, bucket_bits: int = BUCKET_BITS) -> DataFrame:
     """(id, n_shingles, component_id) per row: components of the links between sets with 100 |x & y| >= percent |x | y|.
 
     A set has the distinct shingles of ``words`` words (A to Z lower-cased), or the whole sequence where there are fewer;
@@ -263,9 +254,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows, is_id = with_rid(docs, id_col, ws, text_col)
     texts = rows.select(F.col(RID).alias("rid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     features = ws.table(texts.mapInArrow(_features(words), "rid long, n long, f long, g long, bits binary"), "features")
-    total = features.agg(F.sum("n")).first()[0] or 0
-    frequent = spark.sparkContext.broadcast(frequent_shingles(texts, words, total))
-    postings = texts.mapInArrow(_postings(words, percent, frequent), "list long, pos long, n long, own long, rid long")
+    levels = spark.sparkContext.broadcast(frequency_levels(texts, words, bucket_bits))
+    postings = texts.mapInArrow(_postings(words, percent, levels, bucket_bits), "list long, pos long, n long, own long, rid long")
     ordered = postings.repartition(shuffle_partitions(spark), "list").sortWithinPartitions("list", "pos", "n", "own", "rid")
     entries = ws.table(ordered.mapInArrow(_lists, "list long, rid long, n long, pos long, hub long, hub_n long, hub_pos long"), "entries")
     bitmaps = features.select("rid", "n", "bits")
