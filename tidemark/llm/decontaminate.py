@@ -30,17 +30,22 @@ _START, _SLOT, _NONE = "\x03", "\x01", "\x02"
 
 
 def words_of(text: Column) -> Column:
-    """The words of a text without punctuation; the first of each sentence has the mark of a start before it."""
-    text = F.regexp_replace(text, "[\x01-\x03]", " ")
+    """A text's words with a blank between them, without punctuation; the first of each sentence has the mark of a start before it."""
+    text = F.translate(text, "\x01\x02\x03", "   ")
     marked = F.regexp_replace(F.concat(F.lit(_START), text), r"[.!?:]+(?:\s+|$)", f" {_START}")
     # Points and commas stay within numbers.
-    plain = F.regexp_replace(marked, rf"(?<![0-9])[.,]|[.,](?![0-9])|[^\p{{L}}\p{{N}}{_START}.,]+", " ")
-    return F.filter(F.split(plain, r"[\s]+"), lambda w: (w != "") & (w != _START))
+    return F.regexp_replace(marked, rf"(?<![0-9])[.,]|[.,](?![0-9])|[^\p{{L}}\p{{N}}{_START}.,]+", " ")
 
 
-def _shape(w: Column) -> Column:
-    low = F.lower(F.ltrim(w, F.lit(_START)))
-    return F.when(w.rlike(f"^{_START}?[0-9]"), "<num>").when(w.rlike(r"^\p{Lu}"), "<name>").when(low.isin(UNITS), "<unit>").otherwise(low)
+def _shape(words: Column) -> Column:
+    """The same words as placeholders or in lower case; units are still words."""
+    numbers = F.regexp_replace(words, rf"(?<![^ ]){_START}?[0-9][^ ]*", "<num>")
+    names = F.regexp_replace(numbers, r"(?<![^ ])\p{Lu}[^ ]*", "<name>")
+    return F.translate(F.lower(names), _START, "")
+
+
+def _split(words: Column) -> Column:
+    return F.filter(F.split(words, " "), lambda w: (w != "") & (w != _START))
 
 
 def windows(texts: DataFrame, size: int = WORDS) -> DataFrame:
@@ -48,25 +53,29 @@ def windows(texts: DataFrame, size: int = WORDS) -> DataFrame:
 
     A text with fewer words is one window. Windows with fewer than ``LITERAL`` words that are not placeholders are left out.
     """
-    words = texts.select("rid", words_of(F.col("text")).alias("w"))
-    shaped = words.select("rid", "w", F.transform("w", _shape).alias("shape"))
-    # Placeholders are shorter than the words' hashes need to be; a zero marks them.
-    item = F.transform("shape", lambda s: F.xxhash64(s))
-    value = lambda w, s: F.when(s.startswith("<"), F.concat(s, F.lower(F.ltrim(w, F.lit(_START)))))
-    ready = shaped.select("rid", item.alias("item"), F.zip_with("w", "shape", value).alias("value"), F.size("w").cast("long").alias("n"))
-    some = F.exists("value", lambda v: v.isNotNull()).alias("some")
-    ready = ready.where("n > 0").select("rid", "item", "value", "n", some)
-    least = F.least(F.lit(size).cast("long"), F.col("n"))
-    here = lambda c, i: F.slice(F.col(c), i.cast("int"), F.lit(size))
-
-    def window(i: Column) -> Column:
-        held = F.when(F.col("some"), F.array_join(here("value", i), _SLOT))
-        return F.struct((i - 1).alias("pos"), F.xxhash64(here("item", i)).alias("h"), held.alias("slots"))
-
-    cut = F.transform(F.sequence(F.lit(1).cast("long"), F.col("n") - least + 1), window)
-    out = ready.select("rid", "n", F.explode(cut).alias("x")).select("rid", "n", "x.*")
-    slots = F.when(F.col("slots") != "", F.size(F.split("slots", _SLOT))).otherwise(0)
-    return out.where(slots <= F.greatest(F.lit(0), F.least(F.lit(size), F.col("n")) - LITERAL))
+    words = texts.select("rid", words_of(F.col("text")).alias("words")).select("rid", "words", _split(_shape(F.col("words"))).alias("shape"))
+    kind = lambda s: F.when(s.isin(UNITS), "<unit>").otherwise(s)
+    value = lambda w, s: F.when(kind(s).startswith("<"), F.concat(kind(s), F.lower(F.ltrim(w, F.lit(_START)))))
+    parts = {"item": F.transform("shape", lambda s: F.xxhash64(kind(s))), "value": F.zip_with(_split(F.col("words")), "shape", value)}
+    ready = words.select("rid", F.size("shape").cast("long").alias("n"), *[c.alias(k) for k, c in parts.items()])
+    # No filter on n: Catalyst would push it down and work the words out twice; an empty array has no rows anyway.
+    # Each array beside itself moved on by one word, by two, and so on: a row for each place, with its window's parts as columns.
+    moved = F.arrays_zip(*[F.slice(k, i + 1, F.greatest(F.lit(0), F.col("n").cast("int") - i)).alias(f"{k}{i}") for k in parts for i in range(size)])
+    out = ready.select("rid", "n", F.posexplode(moved).alias("pos", "x")).where(F.col("pos") <= F.col("n") - F.least(F.lit(size), F.col("n")))
+    part = lambda k: [F.col("x")[f"{k}{i}"] for i in range(size)]
+    out = out.withColumn("pos", F.col("pos").cast("long")).withColumn("h", F.xxhash64(*part("item")))
+    filled = sum((v.isNotNull().cast("int") for v in part("value")), F.lit(0))
+    out = out.where(filled <= F.greatest(F.lit(0), F.least(F.lit(size), F.col("n")) - LITERAL))
+    return out.select("rid", "n", "pos", "h", F.nullif(F.concat_ws(_SLOT, *part("value")), F.lit("")).alias("slots"))
+
+
+def cover(places: DataFrame, size: int, similarity: float) -> DataFrame:
+    """(rid, item, covered, windows) of the pairs whose windows (rid, item, at, words) cover ``similarity`` of the item's words."""
+    # Each window adds the words that the one before doesn't have.
+    after = Window.partitionBy("rid", "item").orderBy("at")
+    wide = F.least(F.lit(size), F.col("words"))
+    fresh = places.distinct().withColumn("fresh", F.least(wide, F.coalesce(F.col("at") - F.lag("at").over(after), wide)))
+    return fresh.groupBy("rid", "item").agg((F.sum("fresh") / F.max("words")).alias("covered"), F.count(F.lit(1)).alias("windows")).where(F.col("covered") >= similarity)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -85,15 +94,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     theirs = windows(item_texts, size).select(F.col("rid").alias("item"), F.col("pos").alias("at"), F.col("n").alias("words"), "h", F.col("slots").alias("item_slots"))
     theirs = ws.table(theirs, "items")
     side = F.broadcast(theirs) if theirs.count() <= BROADCAST_WINDOWS else theirs
-    # The same window again in a document adds nothing but its slots.
     met = windows(texts, size).join(side, "h").select("rid", "pos", "item", "at", "words", F.coalesce("slots", F.lit("")).alias("slots"), F.coalesce("item_slots", F.lit("")).alias("item_slots"))
     met = ws.table(met, "met")
     good = consistent(met).unionByName(met.where("item_slots = ''").select("rid", "item", "at", "words"))
-    # Words covered: each window adds those that the one before doesn't have.
-    after = Window.partitionBy("rid", "item").orderBy("at")
-    wide = F.least(F.lit(size), F.col("words"))
-    fresh = good.distinct().withColumn("fresh", F.least(wide, F.coalesce(F.col("at") - F.lag("at").over(after), wide)))
-    found = fresh.groupBy("rid", "item").agg((F.sum("fresh") / F.max("words")).alias("covered"), F.count(F.lit(1)).alias("windows")).where(F.col("covered") >= similarity)
+    found = cover(good, size, similarity)
     pair = met.where("item_slots <> ''").select("rid", "item", F.explode(F.split("item_slots", _SLOT)).alias("v")).groupBy("rid", "item").agg(F.countDistinct("v").alias("slots"))
     every = met.groupBy("rid", "item").agg(F.countDistinct("at").alias("every"))
     found = found.join(every, ["rid", "item"]).where(F.col("windows") >= similarity * F.col("every"))
