@@ -46,3 +46,14 @@ def test_odd(spark, odd, empty, repeated):
         assert leaks(docs, items).collect() == []
     assert leaks(odd, items.limit(0)).collect() == []
     assert sorted(r.doc_id or 0 for r in leaks(repeated, spark.createDataFrame([(7, "a b")], "item_id long, text string")).collect()) == [0, 1, 1, 2]
+
+
+def test_an_occurrence_beside_other_versions_is_found(spark):
+    """Other versions of the same template in the document don't hide a copy, nor one with a word put in."""
+    pays = "if Ann pays 3 dollars and Ben pays 8 dollars while Cid pays 4 dollars and Dee pays 9 dollars then how many dollars did they all pay"
+    other = "if Eve pays 5 dollars and Fay pays 2 dollars while Gus pays 7 dollars and Hal pays 6 dollars then how many dollars did they all pay"
+    line = "when Carl saw Dan and then Eve told Fay that both Gus and Hal were at the same old place as Ida"
+    put_in = pays.replace("then how", "then just how")
+    docs = [(1, pays), (2, f"{pays}\n{other}"), (3, ITEMS[6][1] + "\n" + "\n".join([line] * 4)), (4, line), (5, f"{other}\n{put_in}\n{other}")]
+    docs, items = frames(spark, docs, [(7, ITEMS[6][1]), (8, pays)])
+    assert {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()} == {(1, 8), (2, 8), (3, 7), (5, 8)}

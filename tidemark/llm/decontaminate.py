@@ -2,10 +2,11 @@
 
 Numbers, names and units are replaced by typed placeholders, which leaves the template of a text. Templates are cut into
 windows of ``WORDS`` words, and the windows of the documents are hash-joined with those of the benchmark items. Each
-matching window brings the values that stood in its placeholders on both sides; within a document and an item these
+matching window brings the values that stood in its placeholders on both sides; within an occurrence of an item these
 must be consistent, one value of the item always meeting the same value of the document, so that a question with other
-numbers or names is found and a chance meeting of templates isn't. A document leaks an item if the windows that are
-consistent cover ``SIMILARITY`` of the item's words and are as large a share of the windows that match.
+numbers or names is found and a chance meeting of templates isn't. A document leaks an item if in any occurrence the
+windows that are consistent cover ``SIMILARITY`` of the item's words and are as large a share of the windows that match.
+Occurrences are told apart by their shift, place in the document minus place in the item (see ``occurrences``).
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ UNITS = (
     "dollar dollars cent cents euro euros percent degree degrees kmh mph hz khz mhz ghz kb mb gb tb v w kw kwh j kj"
 ).split()
 _START, _SLOT, _NONE = "\x03", "\x01", "\x02"
+#: What tells the occurrences of an item in a document apart.
+PLACE = ["rid", "item", "level", "shift"]
 
 
 def words_of(text: Column) -> Column:
@@ -69,20 +72,35 @@ def windows(texts: DataFrame, size: int = WORDS) -> DataFrame:
     return out.select("rid", "n", "pos", "h", F.nullif(F.concat_ws(_SLOT, *part("value")), F.lit("")).alias("slots"))
 
 
-def cover(places: DataFrame, size: int, similarity: float) -> DataFrame:
-    """(rid, item, covered, windows) of the pairs whose windows (rid, item, at, words) cover ``similarity`` of the item's words."""
+def cover(places: DataFrame, size: int, similarity: float, keys: list[str]) -> DataFrame:
+    """(keys, covered, windows) of those ``keys`` whose windows (keys, at, words) cover ``similarity`` of the item's words."""
     # Each window adds the words that the one before doesn't have.
-    after = Window.partitionBy("rid", "item").orderBy("at")
+    after = Window.partitionBy(*keys).orderBy("at")
     wide = F.least(F.lit(size), F.col("words"))
     fresh = places.distinct().withColumn("fresh", F.least(wide, F.coalesce(F.col("at") - F.lag("at").over(after), wide)))
-    return fresh.groupBy("rid", "item").agg((F.sum("fresh") / F.max("words")).alias("covered"), F.count(F.lit(1)).alias("windows")).where(F.col("covered") >= similarity)
+    return fresh.groupBy(*keys).agg((F.sum("fresh") / F.max("words")).alias("covered"), F.count(F.lit(1)).alias("windows")).where(F.col("covered") >= similarity)
+
+
+def occurrences(met: DataFrame, similarity: float) -> DataFrame:
+    """The matching windows ``met`` with the occurrence (level, shift) that each is judged in; a window can be in several.
+
+    Level 0: windows of one shift, as in a copy or a version with other values. Level 1: windows around a shift that occurs,
+    as far as the words that an item may lose, for words put in or left out. Level 2: all windows of the document, for an
+    item in distant parts.
+    """
+    met = met.withColumn("shift", F.col("pos") - F.col("at"))
+    one = met.withColumn("level", F.lit(0))
+    reach = F.ceil(F.col("words") * (1 - similarity)).cast("long")
+    around = met.withColumn("shift", F.explode(F.sequence(F.col("shift") - reach, F.col("shift") + reach))).withColumn("level", F.lit(1))
+    around = around.join(met.select("rid", "item", "shift").distinct(), ["rid", "item", "shift"], "left_semi")
+    return one.unionByName(around).unionByName(met.withColumn("shift", F.lit(0).cast("long")).withColumn("level", F.lit(2)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(id, item, covered, windows, slots) for each document that leaks an item.
 
-    covered is the share of the item's words in consistent windows, windows their number, slots the number of different
-    values of the item that were met. Null and empty texts, of documents or items, match nothing; items with a null or
+    covered is the share of the item's words in consistent windows of the occurrence that covers most, windows their number,
+    slots the number of different values of the item that were met. Null and empty texts, of documents or items, match nothing; items with a null or
     repeated id are items of their own, and so are documents. Other columns are not read. Empty tables give no rows.
     """
     spark = docs.sparkSession
@@ -96,11 +114,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     side = F.broadcast(theirs) if theirs.count() <= BROADCAST_WINDOWS else theirs
     met = windows(texts, size).join(side, "h").select("rid", "pos", "item", "at", "words", F.coalesce("slots", F.lit("")).alias("slots"), F.coalesce("item_slots", F.lit("")).alias("item_slots"))
     met = ws.table(met, "met")
-    good = consistent(met).unionByName(met.where("item_slots = ''").select("rid", "item", "at", "words"))
-    found = cover(good, size, similarity)
+    # Pairs that all their windows together don't cover can't be covered by some of them.
+    may = cover(met.select("rid", "item", "at", "words"), size, similarity, ["rid", "item"]).select("rid", "item")
+    met = ws.table(met.join(may, ["rid", "item"], "left_semi"), "may")
+    placed = ws.table(occurrences(met, similarity), "placed")
+    good = consistent(placed).unionByName(placed.where("item_slots = ''").select(*PLACE, "at", "words"))
+    found = cover(good, size, similarity, PLACE)
+    every = placed.groupBy(*PLACE).agg(F.countDistinct("at").alias("every"))
+    found = found.join(every, PLACE).where(F.col("windows") >= similarity * F.col("every"))
+    found = found.groupBy("rid", "item").agg(F.max(F.struct("covered", "windows")).alias("best")).select("rid", "item", "best.covered", "best.windows")
     pair = met.where("item_slots <> ''").select("rid", "item", F.explode(F.split("item_slots", _SLOT)).alias("v")).groupBy("rid", "item").agg(F.countDistinct("v").alias("slots"))
-    every = met.groupBy("rid", "item").agg(F.countDistinct("at").alias("every"))
-    found = found.join(every, ["rid", "item"]).where(F.col("windows") >= similarity * F.col("every"))
     found = found.join(pair, ["rid", "item"], "left").withColumn("slots", F.coalesce("slots", F.lit(0)).cast("long"))
     found = found.join(items.select(F.col(RID).alias("item"), F.col(item_col).alias("_item")), "item")
     if is_id:
@@ -111,20 +134,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 
 def consistent(met: DataFrame) -> DataFrame:
-    """Of matching windows with slots, those all of whose values agree with what most windows of the pair say.
+    """Of matching windows with slots, those all of whose values agree with what most windows of the occurrence say.
 
-    The value that an item's value meets most often (of equals, the first by order) is its value in that document, and two
+    The value that an item's value meets most often (of equals, the first by order) is its value in that occurrence, and two
     values of the item can't have the same one.
     """
     filled = met.where("item_slots <> ''").withColumn("pairs", F.explode(F.arrays_zip(F.split("item_slots", _SLOT).alias("v"), F.split("slots", _SLOT).alias("d"))))
-    filled = filled.select("rid", "item", "at", "pos", "words", "pairs.v", "pairs.d")
-    votes = filled.groupBy("rid", "item", "v", "d").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("rid", "item", "v").agg(F.min(F.struct((-F.col("votes")).alias("m"), "d")).alias("b")).select("rid", "item", "v", F.col("b.d").alias("best"), F.col("b.m").alias("m"))
+    filled = filled.select(*PLACE, "at", "pos", "words", "pairs.v", "pairs.d")
+    votes = filled.groupBy(*PLACE, "v", "d").agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy(*PLACE, "v").agg(F.min(F.struct((-F.col("votes")).alias("m"), "d")).alias("b")).select(*PLACE, "v", F.col("b.d").alias("best"), F.col("b.m").alias("m"))
     # One-to-one: of the item's values that took the same value, the one with most votes keeps it.
-    owner = best.groupBy("rid", "item", "best").agg(F.min(F.struct("m", "v")).alias("o")).select("rid", "item", "best", F.col("o.v").alias("owner"))
-    rule = best.join(owner, ["rid", "item", "best"]).where("v = owner").select("rid", "item", "v", "best")
-    judged = filled.join(rule, ["rid", "item", "v"], "left").groupBy("rid", "item", "at", "pos", "words")
-    return judged.agg(F.min(F.coalesce(F.col("d") == F.col("best"), F.lit(False))).alias("all")).where("all").select("rid", "item", "at", "words")
+    owner = best.groupBy(*PLACE, "best").agg(F.min(F.struct("m", "v")).alias("o")).select(*PLACE, "best", F.col("o.v").alias("owner"))
+    rule = best.join(owner, [*PLACE, "best"]).where("v = owner").select(*PLACE, "v", "best")
+    judged = filled.join(rule, [*PLACE, "v"], "left").groupBy(*PLACE, "at", "pos", "words")
+    return judged.agg(F.min(F.coalesce(F.col("d") == F.col("best"), F.lit(False))).alias("all")).where("all").select(*PLACE, "at", "words")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
