@@ -57,3 +57,12 @@ def test_an_occurrence_beside_other_versions_is_found(spark):
     docs = [(1, pays), (2, f"{pays}\n{other}"), (3, ITEMS[6][1] + "\n" + "\n".join([line] * 4)), (4, line), (5, f"{other}\n{put_in}\n{other}")]
     docs, items = frames(spark, docs, [(7, ITEMS[6][1]), (8, pays)])
     assert {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()} == {(1, 8), (2, 8), (3, 7), (5, 8)}
+
+
+def test_copies_without_a_template_are_found(spark):
+    """Title case, upper case, many numbers, and short items inside longer documents."""
+    title = "The Old Man Of The Green Hill And His Two Very Small Grey Dogs"
+    sums = "Compute 12 + 34 + 56 + 78 + 90 and then divide the result by 7"
+    docs = [(1, f"so {title} it is"), (2, ITEMS[1][1].upper()), (3, f"Now: {sums}. Well"), (4, "well there are one two three of them"), (5, "one two four three"), (6, ITEMS[5][1] + " then")]
+    docs, items = frames(spark, docs, [ITEMS[1], ITEMS[4], ITEMS[5], (8, title), (9, sums)])
+    assert {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()} == {(1, 8), (2, 2), (3, 9), (4, 5), (6, 6)}

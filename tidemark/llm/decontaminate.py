@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame expressions only.
 
 Numbers, names and units are replaced by typed placeholders, which leaves the template of a text. Templates are cut into
-windows of ``WORDS`` words, and the windows of the documents are hash-joined with those of the benchmark items. Each
-matching window brings the values that stood in its placeholders on both sides; within an occurrence of an item these
+windows of ``WORDS`` words, and the windows of the documents are hash-joined with those of the benchmark items. Windows
+with the same words in any case match as well. Each matching window brings the values that stood in its placeholders on both sides; within an occurrence of an item these
 must be consistent, one value of the item always meeting the same value of the document, so that a question with other
 numbers or names is found and a chance meeting of templates isn't. A document leaks an item if in any occurrence the
 windows that are consistent cover ``SIMILARITY`` of the item's words and are as large a share of the windows that match.
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import RID, Workspace, with_rid
 
 WORDS, SIMILARITY = 5, 0.8
-#: A window needs so many words that are not placeholders, else its template says too little.
+#: A window needs so many words that are not placeholders, else its template says too little and only its words can match.
 LITERAL = 2
 #: Benchmark windows up to this number are broadcast (16 bytes each and their slots); more are joined by a shuffle.
 BROADCAST_WINDOWS = 200_000
@@ -51,25 +51,34 @@ def _split(words: Column) -> Column:
     return F.filter(F.split(words, " "), lambda w: (w != "") & (w != _START))
 
 
-def windows(texts: DataFrame, size: int = WORDS) -> DataFrame:
-    """(rid, pos, h, slots, n): hash of each window of the template, the values in its placeholders, words of the text.
+def windows(texts: DataFrame, size: int = WORDS, short: tuple[int, ...] = ()) -> DataFrame:
+    """(rid, n, pos, h, same, slots): for each window a hash of its template, the values in its placeholders, words of the text.
 
-    A text with fewer words is one window. Windows with fewer than ``LITERAL`` words that are not placeholders are left out.
+    A second row (same) has a hash of the window's words in lower case and no slots: copies meet there whatever their case and
+    placeholders. Windows with fewer than ``LITERAL`` words that are not placeholders have only this row. A text with fewer
+    words than ``size`` is one window; texts are also cut into windows of each length in ``short``.
     """
     words = texts.select("rid", words_of(F.col("text")).alias("words")).select("rid", "words", _split(_shape(F.col("words"))).alias("shape"))
     kind = lambda s: F.when(s.isin(UNITS), "<unit>").otherwise(s)
-    value = lambda w, s: F.when(kind(s).startswith("<"), F.concat(kind(s), F.lower(F.ltrim(w, F.lit(_START)))))
-    parts = {"item": F.transform("shape", lambda s: F.xxhash64(kind(s))), "value": F.zip_with(_split(F.col("words")), "shape", value)}
+    lower = lambda w: F.lower(F.ltrim(w, F.lit(_START)))
+    value = lambda w, s: F.when(kind(s).startswith("<"), F.concat(kind(s), lower(w)))
+    parts = {"item": F.transform("shape", lambda s: F.xxhash64(kind(s))), "value": F.zip_with(_split(F.col("words")), "shape", value), "word": F.transform(_split(F.col("words")), lambda w: F.xxhash64(lower(w)))}
     ready = words.select("rid", F.size("shape").cast("long").alias("n"), *[c.alias(k) for k, c in parts.items()])
     # No filter on n: Catalyst would push it down and work the words out twice; an empty array has no rows anyway.
     # Each array beside itself moved on by one word, by two, and so on: a row for each place, with its window's parts as columns.
     moved = F.arrays_zip(*[F.slice(k, i + 1, F.greatest(F.lit(0), F.col("n").cast("int") - i)).alias(f"{k}{i}") for k in parts for i in range(size)])
-    out = ready.select("rid", "n", F.posexplode(moved).alias("pos", "x")).where(F.col("pos") <= F.col("n") - F.least(F.lit(size), F.col("n")))
-    part = lambda k: [F.col("x")[f"{k}{i}"] for i in range(size)]
-    out = out.withColumn("pos", F.col("pos").cast("long")).withColumn("h", F.xxhash64(*part("item")))
-    filled = sum((v.isNotNull().cast("int") for v in part("value")), F.lit(0))
-    out = out.where(filled <= F.greatest(F.lit(0), F.least(F.lit(size), F.col("n")) - LITERAL))
-    return out.select("rid", "n", "pos", "h", F.nullif(F.concat_ws(_SLOT, *part("value")), F.lit("")).alias("slots"))
+    out = ready.select("rid", "n", F.posexplode(moved).alias("pos", "x")).withColumn("pos", F.col("pos").cast("long"))
+    part = lambda k, m: [F.col("x")[f"{k}{i}"] for i in range(m)]
+    rows = []
+    for m in (size, *short):
+        # A short length stands for itself only; the whole of a shorter text is its window of ``size``.
+        wide = F.least(F.lit(size), F.col("n")) if m == size else F.lit(m)
+        filled = sum((v.isNotNull().cast("int") for v in part("value", m)), F.lit(0))
+        fits = F.col("pos") <= F.col("n") - wide
+        slots = F.nullif(F.concat_ws(_SLOT, *part("value", m)), F.lit(""))
+        rows.append(F.when(fits & (filled <= F.greatest(F.lit(0), wide - LITERAL)), F.struct(F.xxhash64(*part("item", m)).alias("h"), F.lit(False).alias("same"), slots.alias("slots"))))
+        rows.append(F.when(fits, F.struct(F.xxhash64(F.lit(1), *part("word", m)).alias("h"), F.lit(True).alias("same"), F.lit(None).cast("string").alias("slots"))))
+    return out.select("rid", "n", "pos", F.explode(F.array(*rows)).alias("w")).where("w is not null").select("rid", "n", "pos", "w.h", "w.same", "w.slots")
 
 
 def cover(places: DataFrame, size: int, similarity: float, keys: list[str]) -> DataFrame:
@@ -86,14 +95,15 @@ def occurrences(met: DataFrame, similarity: float) -> DataFrame:
 
     Level 0: windows of one shift, as in a copy or a version with other values. Level 1: windows around a shift that occurs,
     as far as the words that an item may lose, for words put in or left out. Level 2: all windows of the document, for an
-    item in distant parts.
+    item in distant parts. Level 3: the same without windows that meet by their words only, which vote for no value.
     """
     met = met.withColumn("shift", F.col("pos") - F.col("at"))
     one = met.withColumn("level", F.lit(0))
     reach = F.ceil(F.col("words") * (1 - similarity)).cast("long")
     around = met.withColumn("shift", F.explode(F.sequence(F.col("shift") - reach, F.col("shift") + reach))).withColumn("level", F.lit(1))
     around = around.join(met.select("rid", "item", "shift").distinct(), ["rid", "item", "shift"], "left_semi")
-    return one.unionByName(around).unionByName(met.withColumn("shift", F.lit(0).cast("long")).withColumn("level", F.lit(2)))
+    whole = met.withColumn("shift", F.lit(0).cast("long"))
+    return one.unionByName(around).unionByName(whole.withColumn("level", F.lit(2))).unionByName(whole.where("not same").withColumn("level", F.lit(3)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -109,11 +119,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts = rows.select(F.col(RID).alias("rid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     items, _ = with_rid(benchmark, item_col, Workspace(spark, "items"), item_text_col)
     item_texts = items.select(F.col(RID).alias("rid"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
-    theirs = windows(item_texts, size).select(F.col("rid").alias("item"), F.col("pos").alias("at"), F.col("n").alias("words"), "h", F.col("slots").alias("item_slots"))
+    theirs = windows(item_texts, size).select(F.col("rid").alias("item"), F.col("pos").alias("at"), F.col("n").alias("words"), "h", "same", F.col("slots").alias("item_slots"))
     theirs = ws.table(theirs, "items")
     side = F.broadcast(theirs) if theirs.count() <= BROADCAST_WINDOWS else theirs
-    met = windows(texts, size).join(side, "h").select("rid", "pos", "item", "at", "words", F.coalesce("slots", F.lit("")).alias("slots"), F.coalesce("item_slots", F.lit("")).alias("item_slots"))
-    met = ws.table(met, "met")
+    short = tuple(sorted(r.words for r in theirs.where(F.col("words") < size).select("words").distinct().collect()))
+    met = windows(texts, size, short).join(side, ["h", "same"]).select("rid", "pos", "item", "at", "words", "same", F.coalesce("slots", F.lit("")).alias("slots"), F.coalesce("item_slots", F.lit("")).alias("item_slots"))
+    met = ws.table(met.distinct(), "met")
     # Pairs that all their windows together don't cover can't be covered by some of them.
     may = cover(met.select("rid", "item", "at", "words"), size, similarity, ["rid", "item"]).select("rid", "item")
     met = ws.table(met.join(may, ["rid", "item"], "left_semi"), "may")
