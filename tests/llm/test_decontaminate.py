@@ -66,3 +66,8 @@ def test_copies_without_a_template_are_found(spark):
     docs = [(1, f"so {title} it is"), (2, ITEMS[1][1].upper()), (3, f"Now: {sums}. Well"), (4, "well there are one two three of them"), (5, "one two four three"), (6, ITEMS[5][1] + " then")]
     docs, items = frames(spark, docs, [ITEMS[1], ITEMS[4], ITEMS[5], (8, title), (9, sums)])
     assert {(r.doc_id, r.item_id) for r in leaks(docs, items).collect()} == {(1, 8), (2, 2), (3, 9), (4, 5), (6, 6)}
+
+
+def test_clean_tells_rows_with_null_and_repeated_ids_apart(spark):
+    docs, items = frames(spark, [(None, ITEMS[1][1]), (1, "see " + ITEMS[1][1]), (1, "clean row"), (None, "another clean row"), (2, "and one more")], [ITEMS[1]])
+    assert sorted(r.text for r in clean(docs, items).collect()) == ["and one more", "another clean row", "clean row"]

@@ -28,6 +28,7 @@ UNITS = (
     "dollar dollars cent cents euro euros percent degree degrees kmh mph hz khz mhz ghz kb mb gb tb v w kw kwh j kj"
 ).split()
 _START, _SLOT, _NONE = "\x03", "\x01", "\x02"
+_ROW = "__clean_row"
 #: What tells the occurrences of an item in a document apart.
 PLACE = ["rid", "item", "level", "shift"]
 
@@ -162,5 +163,6 @@ def consistent(met: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without those that leak an item, with all their columns."""
-    return docs.join(leaks(docs, benchmark, id_col, **options).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+    """The documents without those that leak an item, with all their columns; rows with a null or repeated id are told apart."""
+    rows = with_rid(docs, id_col, Workspace(docs.sparkSession, "clean"), *docs.columns)[0].withColumnRenamed(RID, _ROW)
+    return rows.join(leaks(rows, benchmark, _ROW, **options).select(_ROW).distinct(), _ROW, "left_anti").select(docs.columns)
