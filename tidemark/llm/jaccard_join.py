@@ -4,8 +4,8 @@ The index is that of prefix filtering: all shingles have one order, rare ones fi
 enough share a shingle among the first few of each. Two kinds of relation let work be skipped (after Wang, Qin, Lin,
 Zhang and Chang: Leveraging Set Relations in Exact Set Similarity Join, 2017):
 
-* Within an index list, entries are blocks by position and size: from the positions of the shared shingle in both sets
-  follows how large the overlap can be at most, and blocks that can't reach the threshold are skipped.
+* Within an index list, from the positions of the shared shingle in both sets and their sizes follows how large the
+  overlap can be at most; pairs that can't reach the threshold are skipped one by one, not by whole blocks.
 * Answers are derived from those of highly similar sets: equal sets are one entry of the index, and sets that are linked
   to the same set already need no comparison with each other (``components.link_lists``).
 
