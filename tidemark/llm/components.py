@@ -1,14 +1,19 @@
-"""Connected components of a graph given as a table of edges, and links found in two rounds over index lists."""
+"""Connected components of a graph given as a table of edges, and links found by comparing what shares an index list."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import log
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Workspace
 
+#: Members in a block of an index list.
+BLOCK = 64
+_BLOCK_KEY = ["list", "cell", "part", "salt"]
+
 
 def components(edges: DataFrame, ws: Workspace, tag: str = "cc") -> DataFrame:
     """(node, component) for the nodes of ``edges`` (a, b); component is the smallest node that is reachable.
@@ -33,40 +38,91 @@ def components(edges: DataFrame, ws: Workspace, tag: str = "cc") -> DataFrame:
         now = ws.table(small.distinct(), f"{tag}{k}")
         ws.drop(f"{tag}{k - 1}-large")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
+        if state == before or not state[0]:
             break
         before = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def link_lists(entries: DataFrame, may: Callable, verify: Callable[[DataFrame, str], DataFrame], ws: Workspace) -> DataFrame:
-    """(node, component) of the nodes that ``verify`` links among the pairs that share a list.
+def _unordered(pairs: DataFrame, *more: Column) -> DataFrame:
+    return pairs.select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b"), *more)
+
+
+def open_pairs(members: DataFrame, ratio: float, may: Callable, can: Callable, ws: Workspace) -> DataFrame:
+    """Pairs (rid, other, x, y) of members of one list and of different components for which ``may`` holds.
+
+    ``members`` has list, rid, component, n and other attributes; x and y are structs of them. The members of a list are
+    cut into blocks: by size n, in cells of which linked members share one or are in neighbours (n at least ``ratio`` of
+    the larger), by ``part`` if there is such a column, and by a salt if a cell has more than ``BLOCK`` members. Blocks are
+    paired first, by their bounds alone, and a pair of blocks that can't hold a link (``can``), or holds one component
+    alone, is skipped whole. Pairs of blocks are dealt by both, so a long list is the work of many tasks.
+    """
+    step = log(1 / ratio) * (1 + 1e-9)
+    placed = members.withColumn("cell", F.floor(F.log(F.greatest(F.col("n"), F.lit(1))) / step))
+    placed = placed if "part" in members.columns else placed.withColumn("part", F.lit(0))
+    bounds = [f(c).alias(f"{name}_{c}") for c in [x for x in ("n", "pos") if x in placed.columns] + ["component"] for f, name in ((F.min, "lo"), (F.max, "hi"))]
+    cells = placed.groupBy("list", "cell", "part").agg(F.count(F.lit(1)).alias("size"), *bounds).withColumn("salts", F.ceil(F.col("size") / BLOCK))
+    cells = ws.table(cells, "cells")
+    placed = placed.join(cells.select("list", "cell", "part", "salts"), ["list", "cell", "part"]).withColumn("salt", F.pmod(F.xxhash64("rid"), "salts"))
+    placed = ws.table(placed.select(*_BLOCK_KEY, F.struct(*members.columns).alias("x")), "placed")
+    blocks = cells.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts").cast("long") - 1))).drop("size", "salts")
+    theirs = blocks.select("list", *[F.col(c).alias(f"o_{c}") for c in blocks.columns if c != "list"])
+    ours = blocks.withColumn("o_cell", F.explode(F.array("cell", F.col("cell") + 1)))
+    once = (F.col("cell") < F.col("o_cell")) | (F.struct("part", "salt") <= F.struct(F.col("o_part").alias("part"), F.col("o_salt").alias("salt")))
+    one = (F.col("lo_component") == F.col("hi_component")) & (F.col("o_lo_component") == F.col("o_hi_component")) & (F.col("lo_component") == F.col("o_lo_component"))
+    other = lambda c: F.col(f"o_{c}")
+    met = ours.join(theirs, ["list", "o_cell"]).where(once & ~one & can(F.col, other)).select("list", "cell", "part", "salt", "o_cell", "o_part", "o_salt")
+    met = met.join(placed, _BLOCK_KEY).withColumnRenamed("x", "_x")
+    right = placed.select("list", *[F.col(c).alias(f"o_{c}") for c in ("cell", "part", "salt")], F.col("x").alias("_y"))
+    met = met.join(right, ["list", "o_cell", "o_part", "o_salt"])
+    same = (F.col("cell") == F.col("o_cell")) & (F.col("part") == F.col("o_part")) & (F.col("salt") == F.col("o_salt"))
+    x, y = (lambda c: F.col(f"_x.{c}")), (lambda c: F.col(f"_y.{c}"))
+    keep = (~same | (x("rid") < y("rid"))) & (x("component") != y("component")) & may(x, y)
+    return met.where(keep).select(x("rid").alias("rid"), y("rid").alias("other"), F.col("_x").alias("x"), F.col("_y").alias("y"))
+
+
+def link_lists(entries: DataFrame, ratio: float, room: Callable, may: Callable, can: Callable, measure: Callable[[DataFrame, str], DataFrame], ws: Workspace) -> DataFrame:
+    """(node, component) of the nodes linked by a distance of at most ``room`` among the pairs that share a list.
 
-    ``entries`` has a row per list and member: list, rid, hub (the member that stands first in the list) and the
-    attributes that ``may`` compares; those of the hub are called hub_*. ``may(left, right)`` gives the condition under
-    which a pair can link, and ``verify(pairs, tag)`` the links among pairs (a, b), a < b.
+    ``entries`` has a row per list and member: list, rid, n, other attributes, and those of the list's hub (the member
+    that stands first) as hub, hub_n and so on. ``room(x, y)`` is the distance that members of these sizes may have,
+    ``may(x, y)`` a condition on pairs, ``can(x, y)`` one on blocks (see ``open_pairs``), and ``measure(pairs, tag)`` gives
+    (a, b, low, high, link) of pairs (a, b): bounds of the distance, high is null if unknown, and whether it is within the room.
 
     First each member is compared with the hub of its list only, a number of pairs linear in the lists. What these
-    links connect needs no more comparing: in the second round, a pair is looked at only if it stands in one list
-    and its ends are in different components. So large groups of near copies are never paired among themselves,
-    and still no link between components is missed.
+    links connect needs no more comparing: after that, a pair is looked at only if it stands in one list and its ends are in
+    different components. So large groups of near copies are never paired among themselves, and still no link
+    between components is missed. Answers are also derived from the hub's: a distance is a metric, so the distances
+    of both ends from a common hub bound theirs, which decides many pairs without comparing them.
     """
     extra = [c for c in entries.columns if c not in ("list", "rid", "hub") and not c.startswith("hub_")]
     hub = lambda c: F.col(f"hub_{c}")
-    first = entries.where(F.col("rid") != F.col("hub")).where(may(F.col, hub))
-    pairs1 = ws.table(first.select(F.least("rid", "hub").alias("a"), F.greatest("rid", "hub").alias("b")).distinct(), "pairs1")
-    links1 = ws.table(verify(pairs1, "first"), "links1")
-    known = components(links1, ws, "cc1")
-    label = known.select(F.col("node").alias("rid"), "component")
-    named = entries.select("list", "rid", *extra).join(label, "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    first = entries.where(F.col("rid") != F.col("hub")).where(may(F.col, hub)).withColumnRenamed("hub", "other")
+    pairs1 = ws.table(_unordered(first).distinct(), "pairs1")
+    told = ws.table(measure(pairs1, "first"), "told1")
+    linked = told.where("link").select("a", "b")
+    known = components(linked, ws, "cc1")
+    named = entries.select("list", "rid", "hub", *extra).join(known.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     named = ws.table(named, "named")
     mixed = named.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
     open_ = ws.table(named.join(mixed, "list", "left_semi"), "open")
     ws.drop("named")
-    other = open_.select("list", *[F.col(c).alias(f"o_{c}") for c in ("rid", "component", *extra)])
-    both = open_.join(other, "list").where((F.col("rid") < F.col("o_rid")) & (F.col("component") != F.col("o_component")) & may(F.col, lambda c: F.col(f"o_{c}")))
-    pairs2 = both.select(F.col("rid").alias("a"), F.col("o_rid").alias("b")).distinct().join(pairs1, ["a", "b"], "left_anti")
-    pairs2 = ws.table(pairs2, "pairs2")
-    links2 = ws.table(verify(pairs2, "second"), "links2")
-    found = links1.unionByName(links2)
-    return components(found, ws, "cc2")
+    # The hub's answers: how far each member is from it, as far as that was measured.
+    far = told.select(F.col("a").alias("rid"), F.col("b").alias("hub"), "low", "high").unionByName(told.select(F.col("b").alias("rid"), F.col("a").alias("hub"), "low", "high"))
+    zero = F.when(F.col("rid") == F.col("hub"), F.lit(0).cast("long"))
+    members = open_.join(far, ["rid", "hub"], "left").select("list", "rid", *extra, "component", F.coalesce(zero, "low", F.lit(0).cast("long")).alias("low"), F.coalesce(zero, "high").alias("high"))
+
+    def undecided(x, y):
+        below = F.greatest(x("low") - y("high"), y("low") - x("high"), F.lit(0).cast("long"))
+        return may(x, y) & (below <= room(x, y))
+
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    found = open_pairs(members, ratio, undecided, can, ws)
+    sure = F.coalesce(x("high") + y("high") <= room(x, y), F.lit(False))
+    found = ws.table(_unordered(found, sure.alias("sure")).groupBy("a", "b").agg(F.max("sure").alias("sure")), "found")
+    ws.drop("cells", "placed", "open")
+    pairs2 = ws.table(found.where("not sure").select("a", "b").join(pairs1, ["a", "b"], "left_anti"), "pairs2")
+    told2 = ws.table(measure(pairs2, "second"), "told2")
+    links = linked.unionByName(found.where("sure").select("a", "b")).unionByName(told2.where("link").select("a", "b"))
+    return components(links, ws, "cc2")
+
