@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import RID, SPACE, Workspace, shuffle_partitions, with_rid
 
-BLOCK_BYTES = 1024
+BLOCK_BYTES = 8192
 
 
 def _runs(keys: list[str], schema: pa.Schema):
@@ -43,25 +43,26 @@ def _runs(keys: list[str], schema: pa.Schema):
             number = runs + np.cumsum(new) - 1
             runs, last = int(number[-1]) + 1, tuple(batch.column(k)[n - 1].as_py() for k in keys)
             empty = {f"{e}_{k}": pa.nulls(n, schema.field(f"{e}_{k}").type) for e in ("first", "last") for k in keys}
-            made = {"rid": batch.column("rid"), "pos": batch.column("pos"), "part": pa.array(np.full(n, part), pa.int32()), "run": pa.array(number, pa.int64())} | empty
+            made = {c: batch.column(c) for c in ("rid", "pos", "left")} | {"part": pa.array(np.full(n, part), pa.int32()), "run": pa.array(number, pa.int64())} | empty
             yield pa.RecordBatch.from_arrays([made[f.name] for f in schema], schema=schema)
         if first is not None:
-            edge = {"rid": None, "pos": None, "part": part, "run": runs} | {f"first_{k}": v for k, v in zip(keys, first)} | {f"last_{k}": v for k, v in zip(keys, last)}
+            edge = {"rid": None, "pos": None, "left": None, "part": part, "run": runs} | {f"first_{k}": v for k, v in zip(keys, first)} | {f"last_{k}": v for k, v in zip(keys, last)}
             yield pa.RecordBatch.from_pylist([edge], schema=schema)
 
     return scan
 
 
 def name_rows(rows: DataFrame, keys: dict[str, str], spread: list[str], ws: Workspace, tag: str) -> DataFrame:
-    """(rid, pos, name): name is the rank of the row's keys among the distinct ones, in the order (``spread``, keys).
+    """(rid, pos, left, name): name is the rank of the row's keys among the distinct ones, in the order (``spread``, keys).
 
-    ``spread`` are hash columns of the keys. A written table, so that names stay what they are.
+    ``spread`` are hash columns of the keys. A written table, so that names stay what they are. The driver gets a number for
+    each partition.
     """
     spark = rows.sparkSession
     kind = {"binary": pa.binary(), "long": pa.int64()}
-    fields = [("rid", pa.int64()), ("pos", pa.int64()), ("part", pa.int32()), ("run", pa.int64())]
+    fields = [("rid", pa.int64()), ("pos", pa.int64()), ("left", pa.int64()), ("part", pa.int32()), ("run", pa.int64())]
     fields += [(f"{e}_{k}", kind[t]) for e in ("first", "last") for k, t in keys.items()]
-    ddl = "rid long, pos long, part int, run long, " + ", ".join(f"{e}_{k} {t}" for e in ("first", "last") for k, t in keys.items())
+    ddl = "rid long, pos long, left long, part int, run long, " + ", ".join(f"{e}_{k} {t}" for e in ("first", "last") for k, t in keys.items())
     order = list(dict.fromkeys([*spread, *keys, "rid", "pos"]))
     ranged = rows.repartitionByRange(shuffle_partitions(spark), *spread, "rid").sortWithinPartitions(*order)
     found = ws.table(ranged.mapInArrow(_runs(list(keys), pa.schema(fields)), ddl), tag)
@@ -71,8 +72,9 @@ def name_rows(rows: DataFrame, keys: dict[str, str], spread: list[str], ws: Work
     for k in keys:
         goes_on &= F.col(f"first_{k}") == F.lag(f"last_{k}").over(w)
     edges = edges.withColumn("less", F.coalesce(goes_on, F.lit(False)).cast("long"))
-    base = edges.select("part", (F.sum(F.col("run") - F.col("less")).over(w) - F.col("run")).alias("base"))
-    return found.where("rid is not null").join(F.broadcast(base), "part").select("rid", "pos", (F.col("base") + F.col("run")).alias("name"))
+    base = edges.select("part", (F.sum(F.col("run") - F.col("less")).over(w) - F.col("run")).alias("base")).collect()
+    base = spark.createDataFrame(base, "part int, base long")
+    return found.where("rid is not null").join(F.broadcast(base), "part").select("rid", "pos", "left", (F.col("base") + F.col("run")).alias("name"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -88,24 +90,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.select(F.col(RID).alias("rid"), F.col(id_col).alias("id"), F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE, " ").cast("binary").alias("data"))
     count = F.greatest(F.lit(1), F.ceil(F.length("data") / block_bytes)).cast("long")
     cut = F.transform(F.sequence(F.lit(0).cast("long"), count - 1), lambda i: F.substring(F.col("data"), (i * block_bytes + 1).cast("int"), F.lit(block_bytes)))
-    blocks = rows.select("rid", F.posexplode(cut).alias("pos", "block")).withColumn("pos", F.col("pos").cast("long")).withColumn("h", F.xxhash64("block")).withColumn("g", F.hash("block"))
-    named = name_rows(blocks, {"block": "binary"}, ["h", "g"], ws, "level0")
-    sizes = rows.select("rid", count.alias("blocks"))
-    done, level = None, 0
-    most = rows.agg(F.max(count)).first()[0] or 1
-    while True:
-        # A document whose only name has place 0 is complete; the others go on in pairs.
-        left = named.where("pos > 0").select("rid").distinct() if most > 1 else None
-        whole = named.join(left, "rid", "left_anti") if left is not None else named
-        whole = ws.table(whole.select("rid", F.lit(level).alias("level"), "name"), f"whole{level}")
-        done = whole if done is None else done.unionByName(whole)
-        if most <= 1:
-            break
-        more = named.join(left, "rid", "left_semi").groupBy("rid", F.expr("pos div 2").alias("pos"))
-        pairs = more.agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1)).alias("b"))
-        pairs = ws.table(pairs.withColumn("h", F.xxhash64("a", "b")).withColumn("g", F.hash("a", "b")), f"pairs{level}")
+    blocks = rows.select("rid", count.alias("left"), F.posexplode(cut).alias("pos", "block")).withColumn("pos", F.col("pos").cast("long"))
+    named = name_rows(blocks.withColumn("h", F.xxhash64("block")).withColumn("g", F.hash("block")), {"block": "binary"}, ["h", "g"], ws, "level0")
+    # A document with one name left is complete; the others go on in pairs.
+    whole = lambda level: named.where("left = 1").select("rid", F.lit(level).alias("level"), "name")
+    done, level, most = whole(0), 0, rows.agg(F.max(count)).first()[0] or 1
+    while most > 1:
+        name = lambda side: F.max(F.when(F.col("pos") % 2 == side, F.col("name")))
+        pairs = named.where("left > 1").groupBy("rid", F.expr("pos div 2").alias("pos"), F.expr("(left + 1) div 2").alias("left")).agg(name(0).alias("a"), F.coalesce(name(1), F.lit(-1)).alias("b"))
         level, most = level + 1, (most + 1) // 2
-        named = name_rows(pairs, {"a": "long", "b": "long"}, ["h", "g"], ws, f"level{level}")
+        named = name_rows(pairs.withColumn("h", F.xxhash64("a", "b")).withColumn("g", F.hash("a", "b")), {"a": "long", "b": "long"}, ["h", "g"], ws, f"level{level}")
+        done = done.unionByName(whole(level))
     ids = rows.select("rid", "id", F.sha2("data", 256).alias("text_sha256")).join(done, "rid")
     ids = ws.table(ids, "identities")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid"))
