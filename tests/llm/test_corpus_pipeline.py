@@ -26,7 +26,7 @@ def test_stages_against_brute_force(spark):
     for i in sorted(after[0]):
         least.setdefault(flat(texts[i]), i)
     assert after[1] == set(least.values())
-    assert after[2] == {i for i, _, c in brute([(i, texts[i]) for i in sorted(after[1])]) if i == c}
+    assert after[2] == {i for i, _, c in brute([(i, texts[i]) for i in sorted(after[1])], 80, 5) if i == c}
     items = [flat(r.text) for r in read(spark, D, "benchmark").collect()]
     planted = {i for i in after[2] if any(x in flat(texts[i]) for x in items)}
     assert planted <= after[2] - after[3] and len(after[2] - after[3]) <= len(planted) + 5

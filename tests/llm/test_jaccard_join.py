@@ -17,8 +17,8 @@ def shingles(text, k=4):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-def brute(rows, percent=85):
-    sets = [shingles(t) for _, t in rows]
+def brute(rows, percent=85, words=4):
+    sets = [shingles(t, words) for _, t in rows]
     up = list(range(len(rows)))
 
     def find(i):

@@ -4,10 +4,12 @@ The index is that of prefix filtering: all shingles have one order, rare ones fi
 enough share a shingle among the first few of each. Two kinds of relation let work be skipped (after Wang, Qin, Lin,
 Zhang and Chang: Leveraging Set Relations in Exact Set Similarity Join, 2017):
 
-* Within an index list, from the positions of the shared shingle in both sets and their sizes follows how large the
-  overlap can be at most; pairs that can't reach the threshold are skipped one by one, not by whole blocks.
-* Answers are derived from those of highly similar sets: equal sets are one entry of the index, and sets that are linked
-  to the same set already need no comparison with each other (``components.link_lists``).
+* An index list is cut into blocks by the size of the sets and the position of the shared shingle in them. From the bounds of
+  two blocks follows how large an overlap of their members can be at most; blocks that can't reach the threshold with
+  each other are skipped whole, and then pairs one by one by the same rule (``components.open_pairs``).
+* Answers are derived from those of highly similar sets: equal sets are one entry of the index; sets that are linked to the same
+  set need no comparison with each other; and the size of the symmetric difference is a metric, so what was measured
+  between a list's first set and two others bounds, and often decides, the answer of these two (``components.link_lists``).
 
 A pair that is left is compared by parity bitmaps, whose differing bits are a lower bound of the symmetric difference,
 and then by the sets themselves. Shingles are 64-bit hashes; equal sets are found by their size and 128 bits more.
@@ -116,12 +118,12 @@ def _levels(parts: int, bits: int):
 def frequency_levels(texts: DataFrame, k: int, bits: int = BUCKET_BITS) -> np.ndarray:
     """The level of each bucket of shingles, from counts over all documents. The driver gets a byte for each bucket.
 
-    Each task counts its own batches before anything is shuffled.
+    Each task counts its own batches before anything is shuffled; what is collected has a fixed size.
     """
     parts = shuffle_partitions(texts.sparkSession)
     rows = texts.mapInArrow(_tallies(k, parts, bits), "part int, tokens binary, more binary").repartition(parts, "part")
     levels = np.zeros(1 << bits, np.uint8)
-    for row in rows.mapInArrow(_levels(parts, bits), "part int, levels binary").toLocalIterator():
+    for row in rows.mapInArrow(_levels(parts, bits), "part int, levels binary").collect():
         lo = _edge(row.part, parts, bits)
         levels[lo : lo + len(row.levels)] = np.frombuffer(row.levels, np.uint8)
     return levels
@@ -200,7 +202,7 @@ def _set_blobs(k: int):
 
 
 def _near_bits(percent: int):
-    """Pairs whose bitmaps don't rule the similarity out."""
+    """Of each pair, how many bits of the bitmaps differ, and whether that leaves the similarity possible."""
 
     def run(batches):
         for batch in batches:
@@ -209,21 +211,25 @@ def _near_bits(percent: int):
             x, y = (np.stack([np.frombuffer(b, np.uint8) for b in batch.column(c).to_pylist()]) for c in ("bits_a", "bits_b"))
             differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
             both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            keep = differ <= both - 2 * -(-both * percent // (100 + percent))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            close = differ <= both - 2 * -(-both * percent // (100 + percent))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(differ), pa.array(close)], names=["a", "b", "low", "close"])
 
     return run
 
 
 def _similar(percent: int):
+    """The size of each pair's symmetric difference, as its lower and upper bound, and whether the sets are similar."""
+
     def run(batches):
         for batch in batches:
-            keep = []
+            apart, link = [], []
             for x, y in zip(batch.column("items_a"), batch.column("items_b")):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                apart.append(len(x) + len(y) - 2 * common)
+                link.append(100 * common >= percent * (len(x) + len(y) - common))
+            apart = pa.array(apart, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), apart, apart, pa.array(link, pa.bool_())], names=["a", "b", "low", "high", "link"])
 
     return run
 
@@ -260,17 +266,28 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entries = ws.table(ordered.mapInArrow(_lists, "list long, rid long, n long, pos long, hub long, hub_n long, hub_pos long"), "entries")
     bitmaps = features.select("rid", "n", "bits")
 
+    entries = entries.withColumn("part", F.floor(F.log2(F.col("pos") + 1)))
+
+    def room(x, y):
+        return x("n") + y("n") - 2 * needed(x("n"), y("n"), percent)
+
     def may(x, y):
         # The shared shingle and what follows it in the shorter rest is the most that the sets can share.
         most = F.least(x("n") - x("pos"), y("n") - y("pos"))
         return most >= needed(x("n"), y("n"), percent)
 
-    def verify(pairs: DataFrame, tag: str) -> DataFrame:
-        close = _join_ends(pairs, bitmaps).mapInArrow(_near_bits(percent), "a long, b long")
-        close = ws.table(close, f"close-{tag}")
-        return _join_ends(close, _fetch(texts, close, words, ws, tag)).select("a", "b", "items_a", "items_b").mapInArrow(_similar(percent), "a long, b long")
+    def can(x, y):
+        most = F.least(x("hi_n") - x("lo_pos"), y("hi_n") - y("lo_pos"))
+        return most >= needed(x("lo_n"), y("lo_n"), percent)
+
+    def measure(pairs: DataFrame, tag: str) -> DataFrame:
+        told = ws.table(_join_ends(pairs, bitmaps).mapInArrow(_near_bits(percent), "a long, b long, low long, close boolean"), f"bits-{tag}")
+        close = told.where("close").select("a", "b")
+        exact = _join_ends(close, _fetch(texts, close, words, ws, tag)).select("a", "b", "items_a", "items_b")
+        exact = exact.mapInArrow(_similar(percent), "a long, b long, low long, high long, link boolean")
+        return exact.unionByName(told.where("not close").select("a", "b", "low", F.lit(None).cast("long").alias("high"), F.lit(False).alias("link")))
 
-    linked = link_lists(entries, may, verify, ws)
+    linked = link_lists(entries, percent / 100, room, may, can, measure, ws)
     # Equal sets: the first row stands for all.
     classes = ws.table(features.where("n > 0").groupBy("n", "f", "g").agg(F.min("rid").alias("first")), "classes")
     member = features.select("rid", "n", "f", "g").join(classes, ["n", "f", "g"], "left").select("rid", "n", F.coalesce("first", "rid").alias("first"))
