@@ -35,9 +35,9 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by the similarity of their shingles, the one with the smallest id stays."""
+    """Of documents linked by a similarity of 0.8 of their shingles of five words, the one with the smallest id stays."""
     rows = _numbered(docs)
-    kept = jaccard_join.similar_groups(rows, ROW).where(f"component_id = {ROW}").select(ROW)
+    kept = jaccard_join.similar_groups(rows, ROW, words=5, percent=80).where(f"component_id = {ROW}").select(ROW)
     return rows.join(kept, ROW, "left_semi").drop(ROW)
 
 
