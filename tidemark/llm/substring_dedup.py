@@ -7,11 +7,12 @@ same leading bytes; about one place in 137 is an anchor.
 
 1. Each anchor has a stretch: the bytes of all windows it is the anchor of. Suffixes are counted by their leading bytes; those
    that stand alone are done with. Where stretches are equal as a whole (copies), all their windows are repeated.
-2. What is left are suffixes with equal leading bytes and different stretches. Their stretches are fetched, one for each
-   different one, and dealt by sampled splitters into ranges of the leading bytes' order. In each bucket all windows of
-   the stretches are sorted by 128-bit fingerprints and compared with their neighbours.
-3. Suffixes whose leading bytes more than ``BUCKET_ROWS`` different stretches share would overfill a bucket: their windows
-   are dealt one by one and counted, so equal ones meet wherever they are.
+2. What is left are suffixes with equal leading bytes and different stretches, one for each different stretch. Sampled splitters
+   range-partition them by their leading bytes, up to LENGTH of them, so a lead that very many share is split as well.
+3. Each bucket sorts its suffixes, and then the windows of suffixes that share a lead, by multikey quicksort: by eight bytes
+   at a time, only what is equal so far going on to the next eight. Windows that stay together to the end are repeated.
+4. Buckets are compared across their boundaries: a window whose part from the anchor on is also that of the bucket's first
+   or last suffix may have an equal one in another bucket. Such windows are counted by 128-bit fingerprints, wherever they are.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import RID, Workspace, shuffle_partitions, utf8, with_rid
 
 LENGTH, LEAD = 400, 128
-BUCKET_ROWS = 20_000
+#: About so many bytes of stretches go into a bucket.
+BUCKET_BYTES = 8 << 20
+#: Copies of stretches with more occurrences are found without a shuffle by their stretch, as far as so many are broadcast.
+HOT, HOT_STRETCHES = 256, 200_000
 #: Bytes worked on at once; places within them are told apart by this many bits.
 SLICE_BYTES, PLACE_BITS = 1 << 20, 22
 
@@ -142,72 +146,128 @@ def _anchor_rows(batches):
 
 
 def _stretches(batches):
-    """The bytes of the wanted stretches of each text."""
+    """The bytes of the wanted stretches of each text, and where in them the anchor is."""
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
     for batch in batches:
         for rid, text, wanted in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
             data = text.encode()
-            rows = [(w["lead"], rid, w["lo"], w["alone"], w["hot"], data[w["lo"] : w["hi"] + LENGTH]) for w in wanted]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["lead", "rid", "lo", "alone", "hot", "data"])
+            rows = [(rid, w["lo"], w["place"] - w["lo"], w["alone"], data[w["lo"] : w["hi"] + LENGTH]) for w in wanted]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["rid", "lo", "anchor", "alone", "data"])
 
 
-def _windows(data: np.ndarray, at: np.ndarray):
-    """(stretch, window within it, two fingerprints) of all windows of the stretches."""
-    sizes = np.diff(at) - LENGTH + 1
-    which = np.repeat(np.arange(len(sizes)), sizes)
-    inside = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    begin = at[:-1][which] + inside
-    f, g = fingerprints(data, begin, begin + LENGTH)
-    return which, inside, f, g
+def multikey(words: np.ndarray, start: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index, group) of the strings of ``length`` bytes that equal another one of their group, sorted by group and contents.
 
+    Multikey quicksort with eight bytes as a character: ``words`` has the eight bytes from each place on as a number. Parts of equal
+    characters go on to the next one; a part of one string is done.
+    """
+    index = np.argsort(group, kind="stable")
+    group = group[index]
+    for depth in range(0, length + 8, 8):
+        new = np.r_[True, group[1:] != group[:-1]][: len(group)]
+        several = ~(new & np.r_[new[1:], True][: len(new)])
+        index, new = index[several], new[several]
+        part = np.cumsum(new) - 1
+        if depth >= length or not len(index):
+            return index, part
+        char = words[start[index] + depth]
+        differs = np.zeros(part[-1] + 1, bool)
+        differs[part[char != char[np.flatnonzero(new)][part]]] = True
+        sort = np.flatnonzero(differs[part])
+        order = np.lexsort((char[sort], part[sort]))
+        index[sort], char[sort] = index[sort][order], char[sort][order]
+        group = np.cumsum(np.r_[True, (part[1:] != part[:-1]) | (char[1:] != char[:-1])])
+    return index, group
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number; what is beyond the end is zero."""
+    words = np.zeros(len(data) + LENGTH, np.uint64)
+    padded = np.r_[data, np.zeros(LENGTH + 8, np.uint8)].astype(np.uint64)
+    for k in range(8):
+        words |= padded[k : k + len(words)] << np.uint64(56 - 8 * k)
+    return words
+
+
+def _common(data: np.ndarray, begin: np.ndarray, end: np.ndarray, other: bytes) -> np.ndarray:
+    """The length of the common prefix of each data[begin:end] with ``other``."""
+    out = np.zeros(len(begin), np.int64)
+    live = np.arange(len(begin))
+    for k, c in enumerate(other):
+        live = live[end[live] > begin[live] + k]
+        live = live[data[begin[live] + k] == c]
+        if not len(live):
+            break
+        out[live] = k + 1
+    return out
+
+
+def _windows(at: np.ndarray, chosen: np.ndarray):
+    """(stretch, window within it) of all windows of the chosen stretches."""
+    sizes = at[chosen + 1] - at[chosen] - LENGTH + 1
+    which = np.repeat(chosen, sizes)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
-def _bucket(batches):
-    """Sorted stretches of a bucket, some leads at a time: (rid, from, to) of the repeated windows of stretches that stand alone."""
-    held: list = []
-
-    def resolve(table: pa.Table):
-        data, at = utf8(table["data"])
-        which, inside, f, g = _windows(data, at)
-        order = np.lexsort((g, f))
-        same = (f[order][1:] == f[order][:-1]) & (g[order][1:] == g[order][:-1])
-        twice = np.zeros(len(f), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        twice &= table["alone"].to_numpy()[which]
-        begin = twice.copy()
-        begin[1:] &= ~(twice[:-1] & (which[1:] == which[:-1]))
-        end = twice.copy()
-        end[:-1] &= ~(twice[1:] & (which[1:] == which[:-1]))
-        first, last = np.flatnonzero(begin), np.flatnonzero(end)
-        lo = table["lo"].to_numpy()[which[first]]
-        out = [table["rid"].to_numpy()[which[first]], lo + inside[first], lo + inside[last] + LENGTH]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["rid", "s", "e"])
 
-    for batch in batches:
-        held.append(batch)
-        if sum(b.nbytes for b in held) < SLICE_BYTES:
-            continue
-        table = pa.Table.from_batches(held)
-        lead = table["lead"].to_numpy()
-        cut = int(np.searchsorted(lead, lead[-1]))  # the last lead may go on
-        if cut:
-            yield resolve(table[:cut])
-        held = table[cut:].to_batches()
-    if held and sum(b.num_rows for b in held):
-        yield resolve(pa.Table.from_batches(held))
-
-
-def _dealt(batches):
-    """Each window of the stretches as a row of its own."""
-    for batch in batches:
-        data, at = utf8(batch.column("data"))
-        for s in range(0, batch.num_rows, 1000):
-            e = min(s + 1000, batch.num_rows)
-            which, inside, f, g = _windows(data[at[s] : at[e]], at[s : e + 1] - at[s])
-            which = which + s
-            lo = batch.column("lo").to_numpy()[which] + inside
-            columns = [f.view(np.int64), g.view(np.int64), batch.column("rid").to_numpy()[which], lo]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), batch.column("alone").take(pa.array(which))], names=["f", "g", "rid", "lo", "alone"])
+def _bucket(batches):
+    """(rid, s, e) of runs of repeated windows of stretches that stand alone, and (rid, s, alone, f, g) of windows at the bucket's edges."""
+    table = pa.Table.from_batches([b for b in batches if b.num_rows] or [], _STRETCH)
+    if not table.num_rows:
+        return
+    rid, lo, anchor, alone = (table[c].to_numpy() for c in ("rid", "lo", "anchor", "alone"))
+    data, at = utf8(table["data"])
+    words, begin = _words(data), at[:-1] + anchor
+    edges = [f(d[a:] for d, a in zip(table["data"].to_pylist(), anchor.tolist())) for f in (min, max)]
+    near = np.maximum(*(_common(data, begin, at[1:], e) for e in edges))
+
+    def emit(**columns):
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _FOUND], schema=_FOUND)
+
+    # Windows that others in another bucket may equal.
+    at_edge = np.flatnonzero(near >= LENGTH - anchor)
+    for k in range(0, len(at_edge), 1000):
+        which, inside = _windows(at, at_edge[k : k + 1000])
+        open_ = LENGTH - (anchor[which] - inside) <= near[which]
+        which, inside = which[open_], inside[open_]
+        first, last = int(at[which.min()]) if len(which) else 0, int(at[which.max() + 1]) if len(which) else 0
+        if len(which) and last - first > SLICE_BYTES:  # far apart in the bucket: take each by itself
+            parts = np.split(np.arange(len(which)), np.flatnonzero(np.diff(which)) + 1)
+        else:
+            parts = [np.arange(len(which))] if len(which) else []
+        for p in parts:
+            base = int(at[which[p].min()])
+            s = at[which[p]] + inside[p] - base
+            f, g = fingerprints(data[base : int(at[which[p].max() + 1])], s, s + LENGTH)
+            yield emit(rid=rid[which[p]], s=lo[which[p]] + inside[p], alone=alone[which[p]], f=f.view(np.int64), g=g.view(np.int64))
+    # Suffixes that share their lead, sorted; some leads at a time.
+    index, lead = multikey(words, begin, np.zeros(len(begin), np.int64), LEAD)
+    total = np.cumsum(at[index + 1] - at[index])
+    starts = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]][: len(lead)])
+    k = 0
+    while k < len(starts):
+        before = total[starts[k] - 1] if starts[k] else 0
+        stop = max(k + 1, int(np.searchsorted(total[np.r_[starts[1:], len(lead)] - 1], before + SLICE_BYTES, side="right")))
+        chosen = slice(starts[k], starts[stop] if stop < len(starts) else len(lead))
+        k = stop
+        which, inside = _windows(at, index[chosen])
+        # Equal windows have their anchors at the same place, so only such windows are sorted together.
+        group = np.repeat(lead[chosen], at[index[chosen] + 1] - at[index[chosen]] - LENGTH + 1) * 2 * LENGTH + anchor[which] - inside + LENGTH
+        same, _ = multikey(words, at[which] + inside, group, LENGTH)
+        twice = np.zeros(len(which), bool)
+        twice[same] = True
+        twice &= alone[which]
+        first = twice.copy()
+        first[1:] &= ~(twice[:-1] & (which[1:] == which[:-1]))
+        last = twice.copy()
+        last[:-1] &= ~(twice[1:] & (which[1:] == which[:-1]))
+        first, last = np.flatnonzero(first), np.flatnonzero(last)
+        if len(first):
+            yield emit(rid=rid[which[first]], s=lo[which[first]] + inside[first], e=lo[which[last]] + inside[last] + LENGTH)
+
+
+_STRETCH = pa.schema([("rid", pa.int64()), ("lo", pa.int64()), ("anchor", pa.int32()), ("alone", pa.bool_()), ("data", pa.binary())])
+_FOUND = pa.schema([("rid", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("alone", pa.bool_()), ("f", pa.int64()), ("g", pa.int64())])
 
 
 def _removed(batches):
@@ -228,47 +288,53 @@ def _removed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
 
-def repeated_spans(texts: DataFrame, ws: Workspace, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def repeated_spans(texts: DataFrame, ws: Workspace, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(rid, s, e): stretches of bytes whose windows are all repeated, overlapping and in no order."""
     found = ws.table(texts.mapInArrow(_anchor_rows, "lead long, f long, g long, rid long, place long, lo long, hi long"), "anchors")
     more = (F.min("f") != F.max("f")) | (F.min("g") != F.max("g"))
     leads = ws.table(found.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), more.alias("several")).where("n > 1").drop("n"), "leads")
     shared = ws.table(found.join(leads, "lead"), "shared")
     ws.drop("anchors", "leads")
-    one = F.min(F.struct("rid", "lo", "hi")).alias("one")
+    one = F.min(F.struct("rid", "lo", "hi", "place")).alias("one")
     groups = ws.table(shared.groupBy("lead", "f", "g", "several").agg(F.count(F.lit(1)).alias("n"), one), "groups")
-    copies = shared.join(groups.where("n > 1").select("lead", "f", "g"), ["lead", "f", "g"]).select("rid", F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e"))
+    key, span = ["lead", "f", "g"], ["rid", F.col("lo").alias("s"), (F.col("hi") + LENGTH).alias("e")]
+    hot = groups.where(F.col("n") > HOT).select(*key)
+    if hot.count() <= HOT_STRETCHES:
+        hot, rest = F.broadcast(hot), groups.where(F.col("n").between(2, HOT)).select(*key)
+        copies = shared.join(hot, key, "left_semi").select(*span).unionByName(shared.join(hot, key, "left_anti").join(rest, key).select(*span))
+    else:
+        copies = shared.join(groups.where("n > 1").select(*key), key).select(*span)
     # One stretch for each different one, where a lead has several.
     open_ = groups.where("several").select("lead", "one.*", (F.col("n") == 1).alias("alone"))
-    hot = ws.table(open_.groupBy("lead").count().where(F.col("count") > bucket_rows).select("lead", F.lit(True).alias("hot")), "hot")
-    wanted = open_.join(hot, "lead", "left").select("rid", F.struct("lead", "lo", "hi", "alone", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
-    wanted = ws.table(wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted")), "wanted")
-    stretches = texts.join(wanted, "rid").select("rid", "text", "wanted").mapInArrow(_stretches, "lead long, rid long, lo long, alone boolean, hot boolean, data binary")
+    wanted = open_.groupBy("rid").agg(F.collect_list(F.struct("place", "lo", "hi", "alone")).alias("wanted"), F.sum(F.col("hi") - F.col("lo") + LENGTH).alias("size"))
+    wanted = ws.table(wanted, "wanted")
+    stretches = texts.join(wanted.drop("size"), "rid").select("rid", "text", "wanted").mapInArrow(_stretches, "rid long, lo long, anchor int, alone boolean, data binary")
     stretches = ws.table(stretches, "stretches")
-    n = shuffle_partitions(texts.sparkSession)
-    ranged = stretches.where("not hot").select("lead", "rid", "lo", "alone", "data").repartitionByRange(n, "lead").sortWithinPartitions("lead", "rid", "lo")
-    near = ranged.mapInArrow(_bucket, "rid long, s long, e long")
-    dealt = stretches.where("hot").select("rid", "lo", "alone", "data").mapInArrow(_dealt, "f long, g long, rid long, lo long, alone boolean")
-    dealt = ws.table(dealt, "dealt")
-    twice = ws.table(dealt.groupBy("f", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f", "g"), "twice")
-    far = dealt.where("alone").join(twice, ["f", "g"], "left_semi").select("rid", F.col("lo").alias("s"), (F.col("lo") + LENGTH).alias("e"))
-    return copies.unionByName(near).unionByName(far)
+    buckets = max(shuffle_partitions(texts.sparkSession), (wanted.agg(F.sum("size")).first()[0] or 0) // bucket_bytes + 1)
+    # The rest of the key tells equal suffixes apart, so that however many there are, they are split too.
+    suffix = F.substring("data", F.col("anchor") + 1, F.lit(LENGTH))
+    near = stretches.repartitionByRange(buckets, suffix, "rid", "lo").mapInArrow(_bucket, "rid long, s long, e long, alone boolean, f long, g long")
+    near = ws.table(near, "near")
+    twice = near.where("f is not null").groupBy("f", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f", "g")
+    far = near.where("alone").join(twice, ["f", "g"], "left_semi").select("rid", "s", (F.col("s") + LENGTH).alias("e"))
+    return copies.unionByName(near.where("f is null").select("rid", "s", "e")).unionByName(far)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) per row: what is left without the repeated strings of LENGTH bytes.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, changed) per row: what is left without the repeated strings of LENGTH bytes.
 
     Bytes are those of the text in UTF-8; a null text counts as empty, and texts shorter than LENGTH keep all. Strings are
-    judged on the input. Rows with a repeated or null id are texts of their own, so repeated rows repeat each other. Other
+    judged on the input; ``changed`` says whether any was removed. Rows with a repeated or null id are texts of their own, so repeated rows repeat each other. Other
     columns are not read.
     """
     ws = Workspace(docs.sparkSession, "substrings")
     rows, is_id = with_rid(docs, id_col, ws, text_col)
     texts = rows.select(F.col(RID).alias("rid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    spans = repeated_spans(texts, ws, bucket_rows)
+    spans = repeated_spans(texts, ws, bucket_bytes)
     spans = ws.table(spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
-    ws.drop("shared", "groups", "wanted", "stretches", "dealt", "twice")
+    ws.drop("shared", "groups", "wanted", "stretches", "near")
     out = texts.join(spans, "rid", "left").mapInArrow(_removed, "rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    out = out.withColumn("changed", F.col("n_removed") > 0)
     if is_id:
         return out.withColumnRenamed("rid", id_col)
-    return out.join(rows.select(F.col(RID).alias("rid"), F.col(id_col)), "rid").select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return out.join(rows.select(F.col(RID).alias("rid"), F.col(id_col)), "rid").select(id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", "changed")
