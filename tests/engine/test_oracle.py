@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from tidemark import feed_queries  # noqa: F401  registers its queries
 from tidemark.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"

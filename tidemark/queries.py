@@ -199,12 +199,12 @@ def collection_window_gaps(spark, sf_dir):
     return analysis(spark, sf_dir).gaps.drop("opens", "closes")
 
 
-@query(obs_sql("""SELECT o.src_row, w.file_date IS NOT NULL AS should_collect, coalesce(w.opens, n.opens) AS opens FROM (SELECT src_row, source_ts FROM norm WHERE park_id = 'p0') o
+@query(obs_sql("""SELECT o.src_row, w.file_date IS NOT NULL AS should_collect, coalesce(w.opens, n.opens) AS opens FROM (SELECT src_row, source_ts, park_id FROM norm) o
     LEFT JOIN (SELECT DISTINCT file_date, CAST(file_date AS TIMESTAMP) + INTERVAL 6 HOUR AS opens, CAST(file_date AS TIMESTAMP) + INTERVAL 17 HOUR AS closes FROM norm WHERE day(CAST(file_date AS DATE)) % 5 <> 0) w
-        ON o.source_ts BETWEEN w.opens - INTERVAL 30 MINUTE AND w.closes + INTERVAL 60 MINUTE
-    LEFT JOIN LATERAL (SELECT arg_min(opens, (abs(epoch_us(opens) - epoch_us(o.source_ts)), opens)) AS opens FROM (SELECT DISTINCT CAST(file_date AS TIMESTAMP) + INTERVAL 6 HOUR AS opens FROM norm WHERE day(CAST(file_date AS DATE)) % 5 <> 0)) n ON w.file_date IS NULL"""))
+        ON o.park_id = 'p0' AND o.source_ts BETWEEN w.opens - INTERVAL 30 MINUTE AND w.closes + INTERVAL 60 MINUTE
+    LEFT JOIN LATERAL (SELECT arg_min(opens, (abs(epoch_us(opens) - epoch_us(o.source_ts)), opens)) AS opens FROM (SELECT DISTINCT CAST(file_date AS TIMESTAMP) + INTERVAL 6 HOUR AS opens FROM norm WHERE day(CAST(file_date AS DATE)) % 5 <> 0)) n ON w.file_date IS NULL AND o.park_id = 'p0'"""))
 def nearest_window(spark, sf_dir):
-    asked = event_observations(spark, sf_dir).where("park_id = 'p0'").select("src_row", "park_id", F.col("source_ts").alias("at"))
+    asked = event_observations(spark, sf_dir).select("src_row", "park_id", F.col("source_ts").alias("at"))
     return windows.collecting(asked, schedule_table(spark, sf_dir), SETTINGS).select("src_row", "should_collect", "opens")
 
 
@@ -361,7 +361,12 @@ def data_signature(spark, sf_dir):
     return items.signature(read(spark, sf_dir, "nation"), ["n_name", "n_regionkey"], "n_nationkey")
 
 
-@query()
+_ADVICE = ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in zip(("s > 0", "d > 0", "k > 0", "a > 0", "true"), quality.ADVICE.values()))
+
+
+@query(obs_sql(f"""SELECT file_date, concat_ws(chr(10), {_ADVICE}) AS recommendations FROM (SELECT file_date, count(*) FILTER (stale) AS s FROM cleaned GROUP BY 1)
+    LEFT JOIN (SELECT file_date, count(*) AS d FROM (SELECT file_date, snapshot_ts, park_id, name FROM norm GROUP BY ALL HAVING count(*) > 1) GROUP BY 1) USING (file_date)
+    LEFT JOIN (SELECT file_date, count(*) FILTER (candidate_count > 1) AS k FROM ready GROUP BY 1) USING (file_date) LEFT JOIN (SELECT file_date, count(*) FILTER (optimizer_use = 'availability_only') AS a FROM singles GROUP BY 1) USING (file_date)"""))
 def recommendations(spark, sf_dir):
     found = analysis(spark, sf_dir)
-    return quality.recommendations(found.cleaned, found.ready, found.singles, SETTINGS)
+    return quality.recommendations(found.cleaned, found.ready, found.singles, SETTINGS).withColumn("recommendations", F.array_join("recommendations", "\n"))

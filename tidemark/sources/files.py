@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
@@ -96,12 +96,48 @@ FEED = f"lands array<struct<name: string, rides: array<{RIDE}>>>, rides array<{R
 
 
 def queue_feed(documents: DataFrame, json_col: str = "json", park_col: str = "park_id") -> DataFrame:
-    """(park_id, land, ride_id, ride_name, is_open, wait, last_updated): rides of the lands, then those without one (land Other)."""
+    """(park_id, land, land_index, ride_index, ride_id, ride_name, is_open, wait, last_updated): rides of the lands, then those without one (land Other)."""
     parsed = documents.select(F.col(park_col).alias("park_id"), F.from_json(json_col, FEED).alias("d"))
-    lands = parsed.select("park_id", F.inline("d.lands")).select("park_id", F.col("name").alias("land"), F.explode("rides").alias("r"))
-    rest = parsed.select("park_id", F.lit("Other").alias("land"), F.explode("d.rides").alias("r"))
+    lands = parsed.select("park_id", F.posexplode("d.lands").alias("land_index", "l")).select("park_id", F.col("l.name").alias("land"), "land_index", F.posexplode("l.rides").alias("ride_index", "r"))
+    number = F.greatest(F.lit(0), F.coalesce(F.size("d.lands"), F.lit(0))).alias("land_index")
+    rest = parsed.select("park_id", F.lit("Other").alias("land"), number, F.posexplode("d.rides").alias("ride_index", "r"))
     fields = [F.col("r.id").alias("ride_id"), names.repaired(F.col("r.name")).alias("ride_name"), F.coalesce("r.is_open", F.lit(False)).alias("is_open"), F.col("r.wait_time").alias("wait"), F.col("r.last_updated").alias("last_updated")]
-    return lands.unionByName(rest).select("park_id", names.repaired(F.col("land")).alias("land"), *fields)
+    return lands.unionByName(rest).select("park_id", names.repaired(F.col("land")).alias("land"), "land_index", "ride_index", *fields)
+
+
+_PLACE = "struct<latitude: double, lat: double, longitude: double, lng: double, lon: double>"
+_ENTITY = f"id: string, name: string, entityType: string, land: string, area: string, status: string, location: {_PLACE}, coordinates: {_PLACE}"
+CHILDREN = f"children array<struct<{_ENTITY}>>"
+_SHOW = "struct<startTime: string, start: string, startDate: string, endTime: string, end: string, endDate: string>"
+LIVE = f"liveData array<struct<{_ENTITY}, queue: map<string, struct<waitTime: double>>, waitTime: double, wait_time: double, showtimes: array<{_SHOW}>>>"
+ENTRIES = "schedule array<struct<id: string, entityId: string, date: string, openingTime: string, startTime: string, start: string, closingTime: string, endTime: string, end: string>>"
+
+
+def _entities(documents: DataFrame, schema: str, what: str, json_col: str, park_col: str) -> DataFrame:
+    parsed = documents.select(F.col(park_col).alias("park_id"), F.from_json(json_col, schema).alias("d"))
+    return parsed.select("park_id", F.posexplode(f"d.{what}").alias("position", "e"))
+
+
+def _entity() -> list:
+    return [F.col("e.id").alias("id"), F.col("e.name").alias("name"), F.col("e.entityType").alias("entity_type"), F.coalesce(F.nullif("e.land", F.lit("")), "e.area").alias("land"), F.col("e.status").alias("status"), F.col("e.location").alias("location"), F.col("e.coordinates").alias("coordinates")]
+
+
+def children(documents: DataFrame, json_col: str = "json", park_col: str = "park_id") -> DataFrame:
+    """The entities of catalogue documents, in order; what is no array has none."""
+    return _entities(documents, CHILDREN, "children", json_col, park_col).select("park_id", "position", *_entity())
+
+
+def live_entities(documents: DataFrame, json_col: str = "json", park_col: str = "park_id") -> DataFrame:
+    """The entities of live documents with queue, waits and shows (start, end)."""
+    rows = _entities(documents, LIVE, "liveData", json_col, park_col)
+    show = lambda s: F.struct(F.coalesce(s["startTime"], s["start"], s["startDate"]).alias("start"), F.coalesce(s["endTime"], s["end"], s["endDate"]).alias("end"))
+    return rows.select("park_id", "position", *_entity(), F.col("e.queue").alias("queue"), F.col("e.waitTime").alias("wait_time"), F.col("e.wait_time").alias("other_wait"), F.transform("e.showtimes", show).alias("shows"))
+
+
+def schedule_entries(documents: DataFrame, json_col: str = "json", park_col: str = "park_id") -> DataFrame:
+    """(park_id, position, id, date, opening, closing) of all entries of schedule documents, those of entities too."""
+    rows = _entities(documents, ENTRIES, "schedule", json_col, park_col)
+    return rows.select("park_id", "position", F.coalesce("e.id", "e.entityId").alias("id"), F.col("e.date").alias("date"), F.coalesce("e.openingTime", "e.startTime", "e.start").alias("opening"), F.coalesce("e.closingTime", "e.endTime", "e.end").alias("closing"))
 
 
 def first_available(*attempts: tuple[str, Callable[[], DataFrame]]) -> tuple[DataFrame, str]:
@@ -116,6 +152,6 @@ def first_available(*attempts: tuple[str, Callable[[], DataFrame]]) -> tuple[Dat
 
 
 def keep_last(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The last row by ``order`` of each key, with all columns."""
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return rows.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    """The last row by ``order`` of each key, with all columns: a maximum, which combines before the shuffle."""
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("_last"))
+    return last.select("_last.*")
