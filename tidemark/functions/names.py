@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from functools import lru_cache
@@ -36,7 +37,8 @@ def decomposed(text: Column) -> Column:
     """Compatibility decomposition without accents, as far as it gives ASCII; other characters stay. No Python runs per row."""
     single, longer = _decompositions()
     flat = F.regexp_replace(F.translate(text, "".join(single), "".join(single.values())), "[̀-ͯ]", "")
-    known = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    # One literal, so that the plan that carries it stays small.
+    known = F.from_json(F.lit(json.dumps(longer)), "map<string,string>")
     spelled = F.array_join(F.transform(F.split(flat, ""), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.when(flat.rlike(r"[^\x00-\x7F]"), spelled).otherwise(flat)).otherwise(text)
 

@@ -82,7 +82,7 @@ def kpis(items: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 
 def signature(items: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
-    """One row: a hash that changes if and only if the set of rows' fields does. Rows are hashed before they are gathered:
+    """One row: a hash that tells whether the rows' fields are the same as before; nulls and empty texts count as equal. Rows are hashed before they are gathered:
     per first four digits of the row's hash, then over those 65,536 at most, so that no task sorts the whole table's contents."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in [key, *fields]])
     hashed = items.select(F.sha2(text.cast("binary"), 256).alias("h"))
@@ -90,6 +90,11 @@ def signature(items: DataFrame, fields: list[str], key: str = "id") -> DataFrame
     return buckets.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ",").cast("binary"), 256).alias("signature"))
 
 
+def changed(now: DataFrame, before: str | None) -> DataFrame:
+    """One row: the signature and whether it differs from a stored one; without one nothing has changed."""
+    return now.withColumn("changed", F.lit(before is not None) & (F.col("signature") != F.coalesce(F.lit(before), F.lit(""))))
+
+
 def estimated(north: Column, south: Column, west: Column, east: Column, land: Column, ride: Column) -> list[Column]:
     """A place on a grid over the bounds for what has no coordinates."""
     col, row = (land + ride) % GRID, (land * 2 + ride) % GRID

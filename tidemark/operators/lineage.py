@@ -95,8 +95,7 @@ def violations(rows: DataFrame) -> DataFrame:
 def to_insert(new: DataFrame, stored: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Rows of ``new`` whose key isn't stored, the first by ``order`` for each key: what a repeated write still has to add."""
     fresh = new.join(stored.select(*keys).distinct(), keys, "left_anti")
-    w = Window.partitionBy(*keys).orderBy(order)
-    return fresh.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    return fresh.groupBy(*keys).agg(F.min_by(F.struct(*fresh.columns), order).alias("_first")).select("_first.*")
 
 
 def reconciled(planned: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import CLOSE_BUFFER_MINUTES, OPEN_BUFFER_MINUTES, Settings
@@ -25,9 +25,10 @@ def collection_gaps(rows: DataFrame, schedule: DataFrame) -> DataFrame:
     there = rows.select("file_date", "snapshot_ts", "park_id").distinct()
     parks = schedule.select("park_id").unionByName(there.select("park_id")).distinct()
     entry = schedule.groupBy("park_id", F.col("date").alias("file_date")).agg(F.min_by(F.struct("opens", "closes"), "position").alias("e"))
-    # Parks as an array in one row: each snapshot is exploded by it, without a join condition to get wrong.
-    listed = parks.agg(F.sort_array(F.collect_set("park_id")).alias("parks"))
-    checks = there.select("file_date", "snapshot_ts").distinct().crossJoin(F.broadcast(listed)).select("file_date", "snapshot_ts", F.explode("parks").alias("park_id"))
+    # Every snapshot of a date with every park: by the date, on which the parks are put as well.
+    snapshots = there.select("file_date", "snapshot_ts").distinct()
+    dated = snapshots.groupBy("file_date").agg(F.count(F.lit(1)).alias("k")).select("file_date", F.lit(1).alias("_one")).join(parks.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    checks = snapshots.join(dated, "file_date")
     present = there.withColumn("rows_present", F.lit(True))
     out = checks.join(entry, ["park_id", "file_date"], "left").join(present, ["file_date", "snapshot_ts", "park_id"], "left")
     expected = F.when(F.col("e").isNull(), True).otherwise(_inside(F.col("snapshot_ts"), F.col("e.opens"), F.col("e.closes"), OPEN_BUFFER_MINUTES, CLOSE_BUFFER_MINUTES))
@@ -45,18 +46,37 @@ def collecting(instants: DataFrame, schedule: DataFrame, settings: Settings = Se
     day = lambda c: F.to_date(c)
     before, after = settings.open_buffer_minutes, settings.close_buffer_minutes
     reach = schedule.withColumn("day", F.explode(F.sequence(F.date_sub(day(F.col("opens")), NEIGHBOUR_DAYS + int(before // 1440)), F.date_add(day(F.col("closes")), NEIGHBOUR_DAYS + int(after // 1440)))))
-    numbered = instants.withColumn("_row", F.monotonically_increasing_id()).withColumn("day", day(F.col("at")))
+    # One row for each park and instant, however many of the given rows have it.
+    keys = ["park_id", "at"]
+    asked = instants.select(*keys).distinct().withColumn("day", day(F.col("at")))
     hours = F.struct("opens", "closes")
     inside = F.when(_inside(F.col("at"), F.col("opens"), F.col("closes"), before, after), F.struct(F.col("opens").alias("k"), "position", hours.alias("h")))
-    keys = instants.columns
-    held = numbered.join(reach, ["park_id", "day"], "left").groupBy("_row", *keys).agg(F.min(inside).alias("w"))
-    # Only instants outside of all windows look for the nearest entry of their park, among all of its entries.
-    apart = F.abs(F.unix_micros("opens") - F.unix_micros("at"))
-    far = held.where("w is null").join(schedule, "park_id", "left").groupBy("_row").agg(F.min(F.when(F.col("opens").isNotNull(), F.struct(apart.alias("k"), "position", hours.alias("h")))).alias("n"))
-    out = held.join(far, "_row", "left")
-    return out.select(*keys, F.col("w").isNotNull().alias("should_collect"), F.when(F.col("w").isNotNull(), "inside park hours collection window").otherwise("outside park hours collection window").alias("reason"), F.coalesce("w.h", "n.h").alias("hours")).select(
-        *keys, "should_collect", "reason", F.col("hours.opens").alias("opens"), F.col("hours.closes").alias("closes")
-    )
+    held = asked.join(reach, ["park_id", "day"], "left").groupBy(*keys).agg(F.min(inside).alias("w"))
+    far = nearest(held.where("w is null").select(*keys), schedule)
+    told = held.join(far, keys, "left").select(*keys, F.col("w").isNotNull().alias("should_collect"), F.coalesce("w.h", "hours").alias("hours"))
+    out = instants.join(told, keys, "left").withColumn("should_collect", F.coalesce("should_collect", F.lit(False)))
+    reason = F.when(F.col("should_collect"), "inside park hours collection window").otherwise("outside park hours collection window")
+    return out.select(*instants.columns, "should_collect", reason.alias("reason"), F.col("hours.opens").alias("opens"), F.col("hours.closes").alias("closes"))
+
+
+def nearest(instants: DataFrame, schedule: DataFrame) -> DataFrame:
+    """(park_id, at, hours): the entry of the park that opens nearest to each instant; of several as near, the first by position.
+
+    Entries and instants stand in one order of time, and each instant takes the last opening before and the first one after
+    it: linear in both, where a join would pair all of a park's.
+    """
+    opens = schedule.where("opens is not null").groupBy("park_id", F.col("opens").alias("at")).agg(F.min_by(F.struct("position", F.struct("opens", "closes").alias("h")), "position").alias("e"))
+    both = instants.select("park_id", "at", F.lit(None).cast(opens.schema["e"].dataType).alias("e"), F.lit(True).alias("asks"))
+    both = both.unionByName(opens.withColumn("asks", F.lit(False)))
+    w = Window.partitionBy("park_id").orderBy("at")
+    last = F.last("e", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    # In falling order the same says what comes next.
+    down = Window.partitionBy("park_id").orderBy(F.col("at").desc())
+    after = F.last("e", True).over(down.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    met = both.withColumns({"last": last, "after": after}).where("asks")
+    apart = lambda e: F.abs(F.unix_micros(F.col(f"{e}.h.opens")) - F.unix_micros("at"))
+    best = F.least(*[F.when(F.col(e).isNotNull(), F.struct(apart(e).alias("k"), F.col(f"{e}.position").alias("position"), F.col(f"{e}.h").alias("h"))) for e in ("last", "after")])
+    return met.select("park_id", "at", best["h"].alias("hours"))
 
 
 def throttled(rows: DataFrame, now: Column, settings: Settings = Settings()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,20 +14,40 @@ from tidemark.operators import observations, quality, windows
 
 @dataclass
 class Analysis:
-    cleaned: DataFrame
-    ready: DataFrame
-    rides: DataFrame
-    singles: DataFrame
-    gaps: DataFrame | None
-    settings: Settings
+    """The results of typed observations (file_date, src_row, ...); each is planned when it is first asked for."""
+
+    rows: DataFrame
+    aliases: DataFrame | None = None
+    schedule: DataFrame | None = None
+    settings: Settings = Settings()
+
+    @cached_property
+    def normal(self) -> DataFrame:
+        return observations.normalize(self.rows, self.aliases)
+
+    @cached_property
+    def cleaned(self) -> DataFrame:
+        return observations.clean(self.normal, self.settings)
+
+    @cached_property
+    def ready(self) -> DataFrame:
+        return observations.resolve(self.cleaned)
+
+    @cached_property
+    def rides(self) -> DataFrame:
+        return observations.ride_profiles(self.normal, self.settings)
+
+    @cached_property
+    def singles(self) -> DataFrame:
+        return observations.single_rider_profiles(self.normal)
+
+    @cached_property
+    def gaps(self) -> DataFrame | None:
+        return windows.collection_gaps(self.normal, self.schedule) if self.schedule is not None else None
 
 
 def analyze(rows: DataFrame, aliases: DataFrame | None = None, schedule: DataFrame | None = None, settings: Settings = Settings()) -> Analysis:
-    """All results of typed observations (file_date, src_row, ...). Nothing runs until one of them is asked for."""
-    normal = observations.normalize(rows, aliases)
-    cleaned = observations.clean(normal, settings)
-    gaps = windows.collection_gaps(normal, schedule) if schedule is not None else None
-    return Analysis(cleaned, observations.resolve(cleaned), observations.ride_profiles(normal, settings), observations.single_rider_profiles(normal), gaps, settings)
+    return Analysis(rows, aliases, schedule, settings)
 
 
 def flat(rows: DataFrame) -> DataFrame:
@@ -36,12 +57,12 @@ def flat(rows: DataFrame) -> DataFrame:
 
 
 def write(found: Analysis, folder: str, dry_run: bool = False) -> None:
-    """Cleaned and optimizer-ready rows, partitioned by file date, as CSV; the report's parts as JSON. A dry run computes and keeps nothing."""
+    """Cleaned and optimizer-ready rows, partitioned by file date, as CSV; the report as JSON. Other dates that are there stay. A dry run computes and keeps nothing."""
     for name, rows in (("cleaned", found.cleaned), ("optimizer_ready", found.ready)):
         if dry_run:
             rows.write.format("noop").mode("overwrite").save()
         else:
-            flat(rows).write.partitionBy("file_date").mode("overwrite").options(header=True, emptyValue="", nullValue="", escape='"').csv(f"{folder}/{name}")
+            flat(rows).write.partitionBy("file_date").mode("overwrite").options(partitionOverwriteMode="dynamic", header=True, emptyValue="", nullValue="", escape='"').csv(f"{folder}/{name}")
     if not dry_run:
         report(found).write.mode("overwrite").json(f"{folder}/report")
 
