@@ -23,10 +23,12 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is configured (tests on one machine)."""
+    """The cluster's shared folder; a folder of our own only where none is configured and all runs on one machine, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if "dir" not in _own_dir:
         _own_dir["dir"] = tempfile.mkdtemp(prefix="tidemark-")
     return _own_dir["dir"]

@@ -38,23 +38,50 @@ class Features:
         self.letters = _letters()
 
     def __call__(self, texts: list[str]):
-        """(features, index of each feature's text) for slices of the texts; long texts are cut with the n-grams kept whole."""
+        """(features, index of each feature's text) for slices of the texts. How a long text is sliced doesn't change its features."""
         held, size = [], 0
         for k, text in enumerate(texts):
-            for s in range(0, max(len(text), 1), SLICE_CHARS):
-                # The part before is repeated for MAX_N - 1 characters, whose own n-grams count there.
-                part = text[max(0, s - MAX_N + 1) : s + SLICE_CHARS]
-                held.append((k, part, min(s, MAX_N - 1)))
-                size += len(part)
-                if size >= SLICE_CHARS:
-                    yield self._slice(held)
-                    held, size = [], 0
+            if len(text) > SLICE_CHARS:
+                yield from self._long(k, text)
+                continue
+            held.append((k, text))
+            size += len(text)
+            if size >= SLICE_CHARS:
+                yield self._slice(held)
+                held, size = [], 0
         if held:
             yield self._slice(held)
 
+    def _long(self, k: int, text: str):
+        """One text: its codes as a whole, four bytes a character; n-grams are hashed where they begin, slice by slice."""
+        codes, s = [np.array([_BLANK], np.uint32)], 0
+        while s < len(text):
+            e = min(s + SLICE_CHARS, len(text))
+            while e < len(text) and text[e].isalpha():  # lower case can depend on the letters beside
+                e += 1
+            codes.append(self.letters[np.frombuffer(text[s:e].lower().encode("utf-32-le", "surrogatepass"), np.uint32)])
+            s = e
+        code = np.concatenate([*codes, codes[0]])
+        keep = np.ones(len(code), bool)
+        keep[1:] = (code[1:] != _BLANK) | (code[:-1] != _BLANK)
+        code = code[keep]
+        for s in range(0, len(code), SLICE_CHARS):
+            part = code[s : s + SLICE_CHARS + MAX_N - 1].astype(np.uint64)
+            out, own, h = [], [], np.zeros(len(part), np.uint64)
+            with np.errstate(over="ignore"):
+                for n in range(1, MAX_N + 1):
+                    m = len(part) - n + 1
+                    if m <= 0:
+                        break
+                    h = h[:m] * np.uint64(0x100000001B3) + part[n - 1 :] + np.uint64(n)
+                    begun = h[:SLICE_CHARS] if n > 1 else h[:SLICE_CHARS][part[:SLICE_CHARS] != _BLANK]
+                    out.append((mix(begun) & np.uint64(BUCKETS - 1)).astype(np.int32))
+                    own.append(np.full(len(begun), k))
+            yield out, own
+
     def _slice(self, held):
         # A blank on either side of each part, a zero between parts that no n-gram crosses.
-        joined = "".join(f" {part.lower()} \0" for _, part, _ in held)
+        joined = "".join(f" {part.lower()} \0" for _, part in held)
         code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         end = code == 0
         code = np.where(end, 0, self.letters[code]).astype(np.uint32)
@@ -63,7 +90,7 @@ class Features:
         code, end = code[keep].astype(np.uint64), end[keep]
         # Zeros inside of texts became blanks above only if they are not ends: a text's own NUL splits it, which is harmless.
         owner = np.cumsum(end) - end
-        which = np.array([k for k, part, _ in held for _ in range(part.count("\0") + 1)])
+        which = np.array([k for k, part in held for _ in range(part.count("\0") + 1)])
         out, own = [], []
         h, ok = np.zeros(len(code), np.uint64), np.ones(len(code), bool)
         with np.errstate(over="ignore"):
