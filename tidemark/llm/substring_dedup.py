@@ -12,7 +12,9 @@ same leading bytes; about one place in 137 is an anchor.
 3. Each bucket sorts its suffixes, and then the windows of suffixes that share a lead, by multikey quicksort: by eight bytes
    at a time, only what is equal so far going on to the next eight. Windows that stay together to the end are repeated.
 4. Buckets are compared across their boundaries: a window whose part from the anchor on is also that of the bucket's first
-   or last suffix may have an equal one in another bucket. Such windows are counted by 128-bit fingerprints, wherever they are.
+   or last suffix may have an equal one in another bucket. The stretches of such windows are dealt once more, by what is before
+   the anchor, and sorted in the same way. Windows that agree with an edge of their bucket there too are counted by 128-bit
+   fingerprints, one for each different window of a bucket.
 """
 
 from __future__ import annotations
@@ -189,13 +191,13 @@ def _words(data: np.ndarray) -> np.ndarray:
     return words
 
 
-def _common(data: np.ndarray, begin: np.ndarray, end: np.ndarray, other: bytes) -> np.ndarray:
-    """The length of the common prefix of each data[begin:end] with ``other``."""
+def _common(data: np.ndarray, begin: np.ndarray, size: np.ndarray, other: bytes, step: int = 1) -> np.ndarray:
+    """How many of the ``size`` bytes at begin, begin + step and so on are those of ``other``, up to the first that isn't."""
     out = np.zeros(len(begin), np.int64)
     live = np.arange(len(begin))
     for k, c in enumerate(other):
-        live = live[end[live] > begin[live] + k]
-        live = live[data[begin[live] + k] == c]
+        live = live[size[live] > k]
+        live = live[data[begin[live] + k * step] == c]
         if not len(live):
             break
         out[live] = k + 1
@@ -209,65 +211,100 @@ def _windows(at: np.ndarray, chosen: np.ndarray):
     return which, np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
-def _bucket(batches):
-    """(rid, s, e) of runs of repeated windows of stretches that stand alone, and (rid, s, alone, f, g) of windows at the bucket's edges."""
-    table = pa.Table.from_batches([b for b in batches if b.num_rows] or [], _STRETCH)
-    if not table.num_rows:
-        return
-    rid, lo, anchor, alone = (table[c].to_numpy() for c in ("rid", "lo", "anchor", "alone"))
-    data, at = utf8(table["data"])
-    words, begin = _words(data), at[:-1] + anchor
-    edges = [f(d[a:] for d, a in zip(table["data"].to_pylist(), anchor.tolist())) for f in (min, max)]
-    near = np.maximum(*(_common(data, begin, at[1:], e) for e in edges))
-
-    def emit(**columns):
-        n = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _FOUND], schema=_FOUND)
-
-    # Windows that others in another bucket may equal.
-    at_edge = np.flatnonzero(near >= LENGTH - anchor)
-    for k in range(0, len(at_edge), 1000):
-        which, inside = _windows(at, at_edge[k : k + 1000])
-        open_ = LENGTH - (anchor[which] - inside) <= near[which]
-        which, inside = which[open_], inside[open_]
-        first, last = int(at[which.min()]) if len(which) else 0, int(at[which.max() + 1]) if len(which) else 0
-        if len(which) and last - first > SLICE_BYTES:  # far apart in the bucket: take each by itself
-            parts = np.split(np.arange(len(which)), np.flatnonzero(np.diff(which)) + 1)
-        else:
-            parts = [np.arange(len(which))] if len(which) else []
-        for p in parts:
-            base = int(at[which[p].min()])
-            s = at[which[p]] + inside[p] - base
-            f, g = fingerprints(data[base : int(at[which[p].max() + 1])], s, s + LENGTH)
-            yield emit(rid=rid[which[p]], s=lo[which[p]] + inside[p], alone=alone[which[p]], f=f.view(np.int64), g=g.view(np.int64))
-    # Suffixes that share their lead, sorted; some leads at a time.
-    index, lead = multikey(words, begin, np.zeros(len(begin), np.int64), LEAD)
-    total = np.cumsum(at[index + 1] - at[index])
-    starts = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]][: len(lead)])
-    k = 0
-    while k < len(starts):
-        before = total[starts[k] - 1] if starts[k] else 0
-        stop = max(k + 1, int(np.searchsorted(total[np.r_[starts[1:], len(lead)] - 1], before + SLICE_BYTES, side="right")))
-        chosen = slice(starts[k], starts[stop] if stop < len(starts) else len(lead))
-        k = stop
-        which, inside = _windows(at, index[chosen])
-        # Equal windows have their anchors at the same place, so only such windows are sorted together.
-        group = np.repeat(lead[chosen], at[index[chosen] + 1] - at[index[chosen]] - LENGTH + 1) * 2 * LENGTH + anchor[which] - inside + LENGTH
-        same, _ = multikey(words, at[which] + inside, group, LENGTH)
-        twice = np.zeros(len(which), bool)
-        twice[same] = True
-        twice &= alone[which]
-        first = twice.copy()
-        first[1:] &= ~(twice[:-1] & (which[1:] == which[:-1]))
-        last = twice.copy()
-        last[:-1] &= ~(twice[1:] & (which[1:] == which[:-1]))
-        first, last = np.flatnonzero(first), np.flatnonzero(last)
-        if len(first):
-            yield emit(rid=rid[which[first]], s=lo[which[first]] + inside[first], e=lo[which[last]] + inside[last] + LENGTH)
-
-
 _STRETCH = pa.schema([("rid", pa.int64()), ("lo", pa.int64()), ("anchor", pa.int32()), ("alone", pa.bool_()), ("data", pa.binary())])
-_FOUND = pa.schema([("rid", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("alone", pa.bool_()), ("f", pa.int64()), ("g", pa.int64())])
+_EDGE = pa.schema([*_STRETCH, ("near", pa.int64()), ("back", pa.binary())])
+_FIRST = pa.schema([("s", pa.int64()), ("e", pa.int64()), *_EDGE])
+_SECOND = pa.schema([("rid", pa.int64()), ("s", pa.int64()), ("e", pa.int64()), ("alone", pa.bool_()), ("f", pa.int64()), ("g", pa.int64())])
+
+
+def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
+    """A batch of these columns, null in the others."""
+    n = len(columns["rid"])
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+
+class _Bucket:
+    """The stretches of one bucket, in memory."""
+
+    def __init__(self, batches, schema: pa.Schema):
+        held = [b.select(schema.names) for b in batches if b.num_rows]
+        self.table = pa.Table.from_batches(held) if held else schema.empty_table()
+        self.rid, self.lo, self.anchor, self.alone = (self.table[c].to_numpy() for c in ("rid", "lo", "anchor", "alone"))
+        self.data, self.at = utf8(self.table["data"])
+        self.begin = self.at[:-1] + self.anchor
+
+    def slices(self, chosen: np.ndarray, part: np.ndarray):
+        """The windows (stretch, window within it, part) of the chosen stretches, by parts of about SLICE_BYTES; a part of ``part`` stays whole."""
+        total = np.cumsum(self.at[chosen + 1] - self.at[chosen])
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+        ends, k = np.r_[starts[1:], len(part)], 0
+        while k < len(starts):
+            before = total[starts[k] - 1] if starts[k] else 0
+            stop = max(k + 1, int(np.searchsorted(total[ends - 1], before + SLICE_BYTES, side="right")))
+            mine = slice(starts[k], ends[stop - 1])
+            which, inside = _windows(self.at, chosen[mine])
+            yield which, inside, np.repeat(part[mine], self.at[chosen[mine] + 1] - self.at[chosen[mine]] - LENGTH + 1)
+            k = stop
+
+    def repeated(self, schema: pa.Schema):
+        """Runs of repeated windows of stretches that stand alone; suffixes that share their lead are sorted together."""
+        words = _words(self.data)
+        for which, inside, lead in self.slices(*multikey(words, self.begin, np.zeros(len(self.begin), np.int64), LEAD)):
+            # Equal windows have their anchors at the same place, so only such windows are sorted together.
+            same, _ = multikey(words, self.at[which] + inside, lead * 2 * LENGTH + self.anchor[which] - inside + LENGTH, LENGTH)
+            twice = np.zeros(len(which), bool)
+            twice[same] = True
+            twice &= self.alone[which]
+            first, last = twice.copy(), twice.copy()
+            first[1:] &= ~(twice[:-1] & (which[1:] == which[:-1]))
+            last[:-1] &= ~(twice[1:] & (which[1:] == which[:-1]))
+            first, last = np.flatnonzero(first), np.flatnonzero(last)
+            if len(first):
+                yield _batch(schema, rid=self.rid[which[first]], s=self.lo[which[first]] + inside[first], e=self.lo[which[last]] + inside[last] + LENGTH)
+
+
+def _forward(batches):
+    """Repeated windows of a bucket of suffixes, and the stretches that reach its edges with how far they agree with these."""
+    bucket = _Bucket(batches, _STRETCH)
+    if not len(bucket.rid):
+        return
+    yield from bucket.repeated(_FIRST)
+    texts, anchor = bucket.table["data"].to_pylist(), bucket.anchor.tolist()
+    edges = [f(d[a:] for d, a in zip(texts, anchor)) for f in (min, max)]
+    near = np.maximum(*(_common(bucket.data, bucket.begin, bucket.at[1:] - bucket.begin, e) for e in edges))
+    # Of a stretch's windows, the first has the shortest part from the anchor on.
+    reach = np.flatnonzero(near >= LENGTH - bucket.anchor)
+    if len(reach):
+        columns = {"rid": bucket.rid, "lo": bucket.lo, "anchor": bucket.anchor, "alone": bucket.alone, "near": near}
+        ends = {"data": [texts[k] for k in reach], "back": [texts[k][: anchor[k]][::-1] for k in reach]}
+        yield _batch(_FIRST, **{c: v[reach] for c, v in columns.items()}, **ends)
+
+
+def _backward(batches):
+    """The same for stretches dealt by what is before the anchor; and fingerprints of the windows that reach the edges of both buckets."""
+    bucket = _Bucket(batches, _EDGE)
+    if not len(bucket.rid):
+        return
+    yield from bucket.repeated(_SECOND)
+    backs, near = bucket.table["back"].to_pylist(), bucket.table["near"].to_numpy()
+    size = bucket.anchor.astype(np.int64)
+    behind = np.maximum(*(_common(bucket.data, bucket.begin - 1, size, e, -1) for e in (min(backs), max(backs))))
+    found = []
+    for which, inside, _ in bucket.slices(np.arange(len(backs)), np.arange(len(backs))):
+        before = bucket.anchor[which] - inside  # negative if the window begins after the anchor
+        open_ = np.flatnonzero((before <= behind[which]) & (LENGTH - before <= near[which]))
+        if len(open_):
+            base, end = int(bucket.at[which[0]]), int(bucket.at[which[-1] + 1])
+            s = bucket.at[which[open_]] + inside[open_] - base
+            f, g = fingerprints(bucket.data[base:end], s, s + LENGTH)
+            found.append((f, g, bucket.rid[which[open_]], bucket.lo[which[open_]] + inside[open_], bucket.alone[which[open_]]))
+    if found:
+        f, g, rid, s, alone = (np.concatenate(c) for c in zip(*found))
+        order = np.lexsort((g, f))
+        f, g, rid, s, alone = (c[order] for c in (f, g, rid, s, alone))
+        new = np.r_[True, (f[1:] != f[:-1]) | (g[1:] != g[:-1])]
+        several = ~np.r_[new[1:], True][new]  # repeated within the bucket, which is known already
+        yield _batch(_SECOND, rid=rid[new], s=s[new], alone=alone[new] & ~several, f=f[new].view(np.int64), g=g[new].view(np.int64))
 
 
 def _removed(batches):
@@ -312,12 +349,17 @@ def repeated_spans(texts: DataFrame, ws: Workspace, bucket_bytes: int = BUCKET_B
     stretches = ws.table(stretches, "stretches")
     buckets = max(shuffle_partitions(texts.sparkSession), (wanted.agg(F.sum("size")).first()[0] or 0) // bucket_bytes + 1)
     # The rest of the key tells equal suffixes apart, so that however many there are, they are split too.
-    suffix = F.substring("data", F.col("anchor") + 1, F.lit(LENGTH))
-    near = stretches.repartitionByRange(buckets, suffix, "rid", "lo").mapInArrow(_bucket, "rid long, s long, e long, alone boolean, f long, g long")
+    suffix, tie = F.substring("data", F.col("anchor") + 1, F.lit(LENGTH)), ["rid", "lo"]
+    near = stretches.repartitionByRange(buckets, suffix, *tie).mapInArrow(_forward, "s long, e long, rid long, lo long, anchor int, alone boolean, data binary, near long, back binary")
     near = ws.table(near, "near")
-    twice = near.where("f is not null").groupBy("f", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f", "g")
-    far = near.where("alone").join(twice, ["f", "g"], "left_semi").select("rid", "s", (F.col("s") + LENGTH).alias("e"))
-    return copies.unionByName(near.where("f is null").select("rid", "s", "e")).unionByName(far)
+    edge = near.where("data is not null").select("rid", "lo", "anchor", "alone", "data", "near", "back")
+    again = (edge.agg(F.sum(F.length("data"))).first()[0] or 0) // bucket_bytes + 1
+    far = ws.table(edge.repartitionByRange(again, "back", *tie).mapInArrow(_backward, "rid long, s long, e long, alone boolean, f long, g long"), "far")
+    twice = far.where("f is not null").groupBy("f", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("f", "g")
+    across = far.where("alone").join(twice, ["f", "g"], "left_semi").select("rid", "s", (F.col("s") + LENGTH).alias("e"))
+    for found in (near.where("data is null"), far.where("f is null"), across):
+        copies = copies.unionByName(found.select("rid", "s", "e"))
+    return copies
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -332,7 +374,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = rows.select(F.col(RID).alias("rid"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     spans = repeated_spans(texts, ws, bucket_bytes)
     spans = ws.table(spans.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans")), "spans")
-    ws.drop("shared", "groups", "wanted", "stretches", "near")
+    ws.drop("shared", "groups", "wanted", "stretches", "near", "far")
     out = texts.join(spans, "rid", "left").mapInArrow(_removed, "rid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     out = out.withColumn("changed", F.col("n_removed") > 0)
     if is_id:
