@@ -175,20 +175,20 @@ def daily_files(spark, sf_dir):
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'standby' WHEN event_id % 3 = 1 THEN 'virtual_queue' ELSE 'other' END AS mode, strftime(ts, '%H:%M') AS clock, CASE WHEN event_id % 2 = 0 THEN strftime(ts, '%H:%M') ELSE strftime(ts, '%H:%M') || ' - ' || strftime(ts + INTERVAL 90 MINUTE, '%H:%M') END AS span,
     CASE event_type WHEN 'click' THEN 'attraction' WHEN 'view' THEN 'entertainment' END AS category, event_type IN ('signup', 'view') AS open_state, floor(value)::DOUBLE AS strict_wait, value >= 10 AS strict_open,
-    greatest(3.0, least(97.0, (value * 0.01 - 0.2) / 0.6 * 100))::DOUBLE AS x, greatest(3.0, least(97.0, (0.8 - value * 0.01) / 0.6 * 100))::DOUBLE AS y, 'b|a' AS flags, CASE WHEN value >= 10 THEN '00:05|09:10' ELSE '09:10|23:00' END AS sorted FROM events""")
+    greatest(3::DOUBLE, least(97::DOUBLE, (value / 128 - 0.25::DOUBLE) / 0.5::DOUBLE * 100)) AS x, greatest(3::DOUBLE, least(97::DOUBLE, (0.75::DOUBLE - value / 128) / 0.5::DOUBLE * 100)) AS y, 'b|a' AS flags, CASE WHEN value >= 10 THEN '00:05|09:10' ELSE '09:10|23:00' END AS sorted FROM events""")
 def scalar_forms(spark, sf_dir):
     ts, key = F.col("ts").cast("timestamp"), F.col("event_id")
     iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     kind = F.when(F.col("event_type") == "click", "ATTRACTION").when(F.col("event_type") == "view", "PARADE").otherwise("RESTAURANT")
     state = F.when(F.col("event_type") == "signup", "open").when(F.col("event_type") == "view", "Scheduled").otherwise("DOWN")
     mode = F.when(key % 3 == 0, "standby").when(key % 3 == 1, "virtual_queue").otherwise("lottery")
-    box = {"north": F.lit(0.8), "south": F.lit(0.2), "west": F.lit(0.2), "east": F.lit(0.8)}
+    box = {"north": F.lit(0.75), "south": F.lit(0.25), "west": F.lit(0.25), "east": F.lit(0.75)}
     span = assembly.range_text(iso(ts), F.when(key % 2 == 1, iso(ts + F.expr("INTERVAL 90 MINUTE"))).otherwise(iso(ts)), ZONE)
     clocks = F.when(F.col("value") >= 10, F.array(F.lit("9:10"), F.lit("00:05"), F.lit("9:10"))).otherwise(F.array(F.lit("23:00"), F.lit("9:10")))
     return read(spark, sf_dir, "events").select(
         "event_id", lineage.access_mode(mode).alias("mode"), times.clock_text(iso(ts), ZONE).alias("clock"), span.alias("span"), items.category(kind).alias("category"), items.is_open_state(state).alias("open_state"),
         numbers.strict(F.floor("value").cast("string"), "wait").alias("strict_wait"), numbers.strict_bool(F.when(F.col("value") >= 10, "TRUE").otherwise("false"), "open").alias("strict_open"),
-        *items.projected(F.col("value") * 0.01, F.col("value") * 0.01, box), F.array_join(backfill.flag_array(F.lit("b||a|")), "|").alias("flags"),
+        *items.projected(F.col("value") / 128, F.col("value") / 128, box), F.array_join(backfill.flag_array(F.lit("b||a|")), "|").alias("flags"),
         F.array_join(F.transform(times.sorted_times(clocks), lambda t: F.lpad(t, 5, "0")), "|").alias("sorted"),
     )
 
