@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import ANALYZER_VERSION, RAW_VERSION, ZONE
 from tidemark.functions import numbers
+from tidemark.operators.ordered import Ordered
 
 # What a raw row must have, what makes two rows the same observation, and the access modes there are.
 REQUIRED = ["snapshot_utc", "snapshot_park_date", "snapshot_timezone", "park_id", "ride_id", "ride_name", "is_open", "source_last_updated_utc", "source_url"]
@@ -45,7 +46,8 @@ def require_valid(raw: DataFrame) -> DataFrame:
 
 
 def with_ordinal(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return rows.withColumn("ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """``rows`` with their number within the keys, from 1; a key's rows may be spread over many partitions."""
+    return Ordered(rows, keys, order).ordinal("ordinal").frame()
 
 
 def raw_records(raw: DataFrame, archive: Column, number: Column) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
 from tidemark.functions import names, times
+from tidemark.operators.ordered import Ordered
 
 # The order in which a training use is preferred; what is stale comes after all others.
 PRIORITY = {
@@ -64,14 +65,13 @@ def with_ride_key(rows: DataFrame) -> DataFrame:
     return rows.withColumn("ride_key", F.coalesce(F.nullif("ride_id", F.lit("")), "name"))
 
 
-def _changed() -> Column:
-    before = F.lag("is_open").over(Window.partitionBy(*RIDE_KEY).orderBy("snapshot_ts", "src_row"))
-    return F.coalesce(F.col("is_open") != before, F.lit(False)).cast("long")
-
-
 def ride_profiles(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Per file date, park and ride: rows, open and closed ones, changes of status in order of time, and what follows."""
-    changed = with_ride_key(rows).withColumn("changed", _changed())
+    """Per file date, park and ride: rows, open and closed ones, changes of status in order of time, and what follows.
+
+    A row's status is compared with the one before it over range partitions, so a ride with most of all rows is no task's.
+    """
+    placed = Ordered(with_ride_key(rows).select(*RIDE_KEY, "snapshot_ts", "src_row", "is_open", "ride_id", "ride_name", "name"), RIDE_KEY, ["snapshot_ts", "src_row"])
+    changed = placed.previous("before", F.col("is_open")).frame().withColumn("changed", F.coalesce(F.col("is_open") != F.col("before"), F.lit(False)).cast("long"))
     first = F.min_by(F.struct("ride_id", "ride_name", "name"), F.struct("snapshot_ts", "src_row")).alias("first")
     made = changed.groupBy(*RIDE_KEY).agg(F.count(F.lit(1)).alias("total_rows"), F.count_if("is_open").alias("open_rows"), F.sum("changed").alias("transitions"), first)
     closed = F.col("total_rows") - F.col("open_rows")
@@ -107,7 +107,7 @@ def clean(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Every row, with quality_flags, observed_wait and training_eligibility. Nothing is dropped.
 
     Both profiles are aggregates with a row per ride and day, so they combine before the shuffle and are joined
-    back; only the changes of status need the rows of a ride in order.
+    back; only the changes of status need the rows of a ride in order (see ``ride_profiles``).
     """
     rows = with_ride_key(rows)
     rides = ride_profiles(rows, settings).select(*RIDE_KEY, "possible_full_day_closed", "temporary_downtime")

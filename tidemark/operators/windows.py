@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import CLOSE_BUFFER_MINUTES, OPEN_BUFFER_MINUTES, Settings
+from tidemark.operators.ordered import Ordered
 
 #: Days on either side of an instant within which the windows that contain it open: entries of that day and its neighbours.
 NEIGHBOUR_DAYS = 1
+#: Parks that the gaps of one table are worked out for.
+MOST_PARKS = 10_000
 
 
 def _inside(at: Column, opens: Column, closes: Column, before: float, after: float) -> Column:
@@ -20,15 +23,16 @@ def collection_gaps(rows: DataFrame, schedule: DataFrame) -> DataFrame:
     """Each snapshot of a file date with each park: expected by the schedule of that date, and whether rows are there.
 
     The first entry for the park and date decides; without one, rows are expected. The parks are those of the schedule and
-    of the rows: few, and the snapshots are distinct before they meet them.
+    of the rows, ``MOST_PARKS`` at most (more are an error): one list of them is put on each snapshot.
     """
     there = rows.select("file_date", "snapshot_ts", "park_id").distinct()
-    parks = schedule.select("park_id").unionByName(there.select("park_id")).distinct()
+    parks = schedule.select("park_id").unionByName(there.select("park_id")).where("park_id is not null").distinct()
     entry = schedule.groupBy("park_id", F.col("date").alias("file_date")).agg(F.min_by(F.struct("opens", "closes"), "position").alias("e"))
-    # Every snapshot of a date with every park: by the date, on which the parks are put as well.
+    listed = F.sort_array(F.collect_list("park_id"))
+    too_many = F.raise_error(F.lit(f"more than {MOST_PARKS} parks")).cast("array<string>")
+    listed = parks.limit(MOST_PARKS + 1).agg(F.when(F.count(F.lit(1)) > MOST_PARKS, too_many).otherwise(listed).alias("parks"))
     snapshots = there.select("file_date", "snapshot_ts").distinct()
-    dated = snapshots.groupBy("file_date").agg(F.count(F.lit(1)).alias("k")).select("file_date", F.lit(1).alias("_one")).join(parks.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    checks = snapshots.join(dated, "file_date")
+    checks = snapshots.withColumn("park_id", F.explode(listed.scalar()))
     present = there.withColumn("rows_present", F.lit(True))
     out = checks.join(entry, ["park_id", "file_date"], "left").join(present, ["file_date", "snapshot_ts", "park_id"], "left")
     expected = F.when(F.col("e").isNull(), True).otherwise(_inside(F.col("snapshot_ts"), F.col("e.opens"), F.col("e.closes"), OPEN_BUFFER_MINUTES, CLOSE_BUFFER_MINUTES))
@@ -62,18 +66,14 @@ def collecting(instants: DataFrame, schedule: DataFrame, settings: Settings = Se
 def nearest(instants: DataFrame, schedule: DataFrame) -> DataFrame:
     """(park_id, at, hours): the entry of the park that opens nearest to each instant; of several as near, the first by position.
 
-    Entries and instants stand in one order of time, and each instant takes the last opening before and the first one after
-    it: linear in both, where a join would pair all of a park's.
+    Entries and instants stand in one order of time, spread over range partitions, and each instant takes the last opening
+    before and the first one after it: linear in both, where a join would pair all of a park's, and no park is one task's.
     """
     opens = schedule.where("opens is not null").groupBy("park_id", F.col("opens").alias("at")).agg(F.min_by(F.struct("position", F.struct("opens", "closes").alias("h")), "position").alias("e"))
     both = instants.select("park_id", "at", F.lit(None).cast(opens.schema["e"].dataType).alias("e"), F.lit(True).alias("asks"))
     both = both.unionByName(opens.withColumn("asks", F.lit(False)))
-    w = Window.partitionBy("park_id").orderBy("at")
-    last = F.last("e", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    # In falling order the same says what comes next.
-    down = Window.partitionBy("park_id").orderBy(F.col("at").desc())
-    after = F.last("e", True).over(down.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    met = both.withColumns({"last": last, "after": after}).where("asks")
+    placed = Ordered(both, ["park_id"], ["at", "asks"]).last("last", F.col("e")).following("after", F.col("e"))
+    met = placed.frame().where("asks")
     apart = lambda e: F.abs(F.unix_micros(F.col(f"{e}.h.opens")) - F.unix_micros("at"))
     best = F.least(*[F.when(F.col(e).isNotNull(), F.struct(apart(e).alias("k"), F.col(f"{e}.position").alias("position"), F.col(f"{e}.h").alias("h"))) for e in ("last", "after")])
     return met.select("park_id", "at", best["h"].alias("hours"))
