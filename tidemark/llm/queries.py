@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, secret_scan, substring_dedup, token_counts, url_filter
+from tidemark.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, periodic_runs, secret_scan, substring_dedup, token_counts, url_filter
 
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -78,6 +78,32 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``docs`` in which about every tenth text repeats a stretch of its words up to its end, by a checksum of doc_id. A null doc_id has none."""
+    word = F.lit(r"[^\x20\x09-\x0D]+")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.withColumns({"_h": h, "_w": F.when(h % 10 == 0, F.regexp_extract_all("text", word, F.lit(0)))}).withColumn("_n", F.nullif(F.size("_w"), F.lit(0)))
+    rows = rows.withColumn("_a", F.expr("_h div 10 % _n")).withColumn("_p", F.expr("1 + (_n - _a) div (3 + _h div 10 % 8)"))
+    begin, unit = F.slice("_w", F.lit(1), F.col("_a").cast("int")), F.slice("_w", (F.col("_a") + 1).cast("int"), F.col("_p").cast("int"))
+    times = F.expr("CAST((_n - _a + _p - 1) div _p AS int)")
+    tail = F.slice(F.flatten(F.array_repeat(unit, times)), F.lit(1), (F.col("_n") - F.col("_a")).cast("int"))
+    said = F.when(F.coalesce(F.col("_n") > 0, F.lit(False)), F.array_join(F.concat(begin, tail), " ")).otherwise(F.col("text"))
+    return rows.withColumn("text", said).drop("_h", "_w", "_n", "_a", "_p")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of each document, and digests of all its runs and of what is left without the repeats."""
+    found = periodic_runs.periodic_runs(with_planted_runs(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("n"), r["start"].alias("s"), r["period"].alias("q"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), F.concat(r["period"].cast("string"), F.lit("\n")))), "")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    rows = found.withColumn("best", best)
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.s").alias("start"), (-F.col("best.n")).alias("length"), F.col("best.q").alias("period"),
+        F.expr("-best.n * 1000 div best.q").alias("exponent_milli"), digest(told).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -89,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 _ASSIGN, _ACCESS, _HEX = secret_scan.ASSIGN.replace("'", "''"), "AKIA[A-Z0-9]+", "[0-9a-f]{24,}"
