@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, periodic_runs, secret_scan, substring_dedup, token_counts, url_filter
+from tidemark.llm import conversation_repair, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, periodic_runs, secret_scan, substring_dedup, token_counts, url_filter
 
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -104,6 +104,26 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a checksum of conversation and turn: rows left out, emptied, cut, repeated, or of another role. Nulls are one blank."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    h = F.crc32(F.concat_ws(":", blank("conv_id"), blank("turn")).cast("binary")) % 20
+    text = F.when(h == 1, "").when(h == 2, F.regexp_replace(blank("text"), "[.!?]", "")).otherwise(blank("text"))
+    times = F.when(h == 0, 0).when(h == 3, 2).otherwise(1)
+    rows = rows.select("conv_id", "turn", F.when(h == 4, "user").otherwise(blank("role")).alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(1), times)).alias("_copy"))
+    return rows.drop("_copy")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, least cost, audit and the repaired text's digest of each damaged conversation."""
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = conversation_repair.Repaired(damaged(rows))
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    parts = rows.select(F.col("conv_id").alias("conv")).distinct().unionByName(found.report(), allowMissingColumns=True).unionByName(found.digests(), allowMissingColumns=True)
+    told = parts.groupBy(F.col("conv").alias("conv_id")).agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts], F.coalesce(F.max("audit"), F.lit("")).alias("audit"), F.max("repaired_sha256").alias("d"))
+    return told.select("conv_id", *counts, "audit", F.coalesce("d", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -116,6 +136,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _ASSIGN, _ACCESS, _HEX = secret_scan.ASSIGN.replace("'", "''"), "AKIA[A-Z0-9]+", "[0-9a-f]{24,}"
