@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import conversation_repair, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, periodic_runs, secret_scan, substring_dedup, token_counts, url_filter
+from tidemark.llm import chat_format, conversation_repair, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, periodic_runs, secret_scan, substring_dedup, token_counts, url_filter
 
 TOKENIZER, PIECES = "word_bpe_49k.json", "piece_bpe_32k.model"
 
@@ -104,6 +104,21 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the turns and of the texts under the loss, read back from the windows of each conversation; one more conversation holds the marks themselves."""
+    marks = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    back = chat_format.read_back(chat_format.format_conversations(rows))
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    said = back.select("conv_id", "first_turn", "n_turns", turns.alias("t"), F.array_join("targets", "").alias("x"), F.length("formatted").cast("long").alias("chars"))
+    whole = said.groupBy("conv_id").agg(F.sum("n_turns").cast("long").alias("n_turns"), F.array_sort(F.collect_list(F.struct("first_turn", "t", "x"))).alias("w"), F.sum("chars").alias("formatted_chars"))
+    joined = lambda c: F.array_join(F.transform("w", lambda w: w[c]), "")
+    told = whole.select("conv_id", "n_turns", joined("t").alias("t"), joined("x").alias("x"), "formatted_chars")
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return told.select("conv_id", "n_turns", digest("t").alias("turns_sha256"), F.length("x").cast("long").alias("loss_chars"), digest("x").alias("loss_sha256"), "formatted_chars")
+
+
 def damaged(rows: DataFrame) -> DataFrame:
     """Conversations with faults put in by a checksum of conversation and turn: rows left out, emptied, cut, repeated, or of another role. Nulls are one blank."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
@@ -136,11 +151,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_chat_format": op12_chat_format,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
 _ASSIGN, _ACCESS, _HEX = secret_scan.ASSIGN.replace("'", "''"), "AKIA[A-Z0-9]+", "[0-9a-f]{24,}"
 
+# formatted_chars follows from where windows begin, which SQL can't fold; tests/llm compares it with a loop. So there is no SQL for op12.
 ORACLE_SQL: dict[str, str] = {
     "op7_url_filter": r"""
         WITH u AS (
