@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Settings, settings_from
 from tidemark.operators import assembly, backfill, items
 from tidemark.plans import publish
+from tidemark.plans.versions import Published
 from tidemark.sources import feeds
 
 
@@ -45,16 +46,56 @@ def test_upload_once(spark, tmp_path):
     whole = spark.read.format("binaryFile").load(f"{tmp_path}/in")
     for _ in range(2):
         row = publish.upload(whole, f"{tmp_path}/store/").collect()[0]
-        assert open(row.object_uri.removeprefix("file:")).read() == "abc" and row.raw_archive_id in row.object_uri
+        assert open(row.object_uri.removeprefix("file://")).read() == "abc" and row.raw_archive_id in row.object_uri
     assert publish.assumed(whole, "s3://b/").first().object_uri == f"s3://b/wait-times/{row.raw_archive_id}/x.csv"
 
 
+def test_upload_by_tasks(spark, tmp_path):
+    """Many files over many tasks; a task that fails leaves no half files, and the upload can be repeated."""
+    (tmp_path / "in").mkdir()
+    for i in range(40):
+        (tmp_path / f"in/f{i}.csv").write_text(f"text {i % 30}")
+    whole = spark.read.format("binaryFile").load(f"{tmp_path}/in").repartition(8)
+    lost = whole.withColumn("content", F.when(F.col("path").endswith("f7.csv"), F.raise_error(F.lit("lost")).cast("binary")).otherwise(F.col("content")))
+    with pytest.raises(Exception):
+        publish.upload(lost, f"{tmp_path}/store")
+    found = publish.upload(whole, f"file://{tmp_path}/store").collect()
+    assert all(open(r.object_uri.removeprefix("file://")).read() == open(r.path.removeprefix("file:")).read() for r in found)
+    assert len(found) == 40 and len(list((tmp_path / "store/wait-times").iterdir())) == 30
+    # Of the failed run at most its own staging folder is left, by tasks that outlived it.
+    assert [p.name for p in (tmp_path / "store").iterdir() if not p.name.startswith("_staging-")] == ["wait-times"]
+    times = {p: p.stat().st_mtime_ns for p in (tmp_path / "store/wait-times").rglob("*.csv")}
+    publish.upload(whole, f"{tmp_path}/store")
+    assert times == {p: p.stat().st_mtime_ns for p in (tmp_path / "store/wait-times").rglob("*.csv")}
+
+
+def test_export_with_small_files(spark, tmp_path):
+    rows = spark.range(100).select(F.lit("2026-07-01").alias("file_date"), F.col("id").cast("string").alias("n"))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "10")
+    try:
+        publish.export_csv(rows, str(tmp_path), ["n"])
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert len((tmp_path / "wait_times_2026-07-01.csv").read_text().splitlines()) == 101
+
+
+def test_cache_survives_a_broken_feed(spark, tmp_path):
+    cache = f"{tmp_path}/cache"
+    good = spark.createDataFrame([("u", "{}")], "url string, json string")
+    feeds.read_through(spark, lambda: good, cache)
+    broken = good.withColumn("json", F.raise_error(F.lit("broken off")).cast("string"))
+    assert [(r.source, r.json) for r in feeds.read_through(spark, lambda: broken, cache).collect()] == [("cache", "{}")]
+    with pytest.raises(ZeroDivisionError):  # a bug isn't a feed that is down
+        feeds.read_through(spark, lambda: 1 / 0, cache)
+
+
 def test_cache_snapshot(spark, tmp_path):
     parks = spark.createDataFrame([("p", "Park", "1")], "park_id string, name string, entity_id string")
     listed = publish.manifest(parks, ["live"], "https://feeds.example", "cache")
     url = listed.first().url
     publish.cache_snapshot(spark.createDataFrame([(url, "{}")], "url string, json string"), listed, f"{tmp_path}/c")
-    assert spark.read.json(f"{tmp_path}/c/manifest").first().url == url
+    store = Published(spark, f"{tmp_path}/c")
+    assert store.read("manifest").first().url == url and store.read("documents").first().json == "{}"
     with pytest.raises(RuntimeError, match="no answer"):
         publish.cache_snapshot(spark.createDataFrame([], "url string, json string"), listed, f"{tmp_path}/d")
 

@@ -1,4 +1,7 @@
-"""What leaves the engine for other readers: single text files, the latest snapshot and report, archives, caches with a manifest."""
+"""What leaves the engine for other readers: single text files, the latest snapshot and report, archives, caches with a manifest.
+
+Tables that belong together are published as versions, see ``versions``.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.lineage import archives, object_uri
+from tidemark.plans.archive import upload  # noqa: F401  part of what is published
+from tidemark.plans.versions import Published
 
 #: Excel and other readers tell UTF-8 by this mark at the start of a file.
 MARK = "﻿"
@@ -27,15 +32,17 @@ def export_csv(rows: DataFrame, folder: str, columns: list[str], name: str = "wa
     spark = rows.sparkSession
     stage = f"{folder}/_stage-{uuid.uuid4().hex}"
     texts = rows.select(F.col(by).alias("_by"), *[F.col(c).cast("string").alias(MARK + c if k == 0 else c) for k, c in enumerate(columns)])
-    texts.repartition("_by").write.partitionBy("_by").options(header=True, emptyValue="", nullValue="", escape='"').csv(stage)
+    texts.repartition("_by").write.partitionBy("_by").options(header=True, emptyValue="", nullValue="", escape='"', maxRecordsPerFile=0).csv(stage)
     fs, path = _files(spark, folder)
     for status in fs.listStatus(path(stage)):
         if status.isDirectory():
             value = status.getPath().getName().split("=", 1)[1]
-            part = next(f.getPath() for f in fs.listStatus(status.getPath()) if f.getPath().getName().startswith("part-"))
+            parts = [f.getPath() for f in fs.listStatus(status.getPath()) if f.getPath().getName().startswith("part-")]
+            if len(parts) != 1:
+                raise RuntimeError(f"{value} was written as {len(parts)} files in {stage}; none was moved")
             target = path(f"{folder}/{name}_{value}.csv")
             fs.delete(target, False)
-            fs.rename(part, target)
+            fs.rename(parts[0], target)
     fs.delete(path(stage), True)
 
 
@@ -56,19 +63,6 @@ def latest_report(report: DataFrame) -> DataFrame:
     return report.join(report.agg(F.max("file_date").alias("file_date")), "file_date", "left_semi")
 
 
-def upload(files: DataFrame, base: str) -> DataFrame:
-    """Copies whole files (path, content) under their hash, each by a task of its own; (path, raw_archive_id, object_uri). What is there stays as it is."""
-    where = archives(files).withColumn("object_uri", F.concat_ws("/", F.lit(base.rstrip("/")), F.lit("wait-times"), "raw_archive_id", "source_name"))
-    spark = files.sparkSession
-    for row in where.select("path", "object_uri").toLocalIterator():
-        fs, path = _files(spark, row.object_uri)
-        if not fs.exists(path(row.object_uri)):
-            source, _ = _files(spark, row.path)
-            conf = spark.sparkContext._jsc.hadoopConfiguration()
-            spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil.copy(source, path(row.path), fs, path(row.object_uri), False, conf)
-    return where.select("path", "raw_archive_id", "object_uri")
-
-
 def assumed(files: DataFrame, base: str) -> DataFrame:
     """(path, raw_archive_id, object_uri) of files that are taken to lie in an object store already."""
     found = archives(files)
@@ -82,11 +76,11 @@ def manifest(parks: DataFrame, endpoints: list[str], base: str, folder: str) ->
 
 
 def cache_snapshot(documents: DataFrame, listed: DataFrame, folder: str) -> DataFrame:
-    """Stores what each url of the manifest answered (url, json) and then the manifest itself; an error if one is missing. Returns the manifest."""
+    """Publishes what each url of the manifest answered (url, json) and the manifest, as one version; an error if an answer is missing. Returns the manifest."""
     met = listed.join(documents, "url", "left")
     missing = met.where("json is null").select("url").first()
     if missing:
         raise RuntimeError(f"no answer from {missing.url}")
-    met.select("park", "endpoint", "url", "file", "json").write.mode("overwrite").parquet(f"{folder}/documents")
-    listed.write.mode("overwrite").json(f"{folder}/manifest")  # last, so that a manifest stands for a whole cache
-    return listed
+    store = Published(listed.sparkSession, folder)
+    store.publish({"documents": met.select("park", "endpoint", "url", "file", "json"), "manifest": listed})
+    return store.read("manifest")

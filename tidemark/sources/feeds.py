@@ -52,15 +52,17 @@ def fetch(spark: SparkSession, urls: list[str]) -> DataFrame:
 
 
 def read_through(spark: SparkSession, live: Callable[[], DataFrame], cache: str, *more: tuple[str, Callable[[], DataFrame]]) -> DataFrame:
-    """Live rows, stored as the new cache; if they can't be read, the cache, then other sources in order. Column ``source`` says which.
+    """Live rows, published as the new version of the cache; if they can't be read, the cache, then other sources in order. Column ``source`` says which.
 
-    Rows are written before the cache is replaced, so a feed that breaks off leaves the cache as it was.
+    A feed that breaks off leaves the cache at the version before.
     """
+    from tidemark.plans.versions import Published
+
+    store = Published(spark, cache)
 
     def fresh() -> DataFrame:
-        live().write.mode("overwrite").parquet(f"{cache}-next")
-        spark.read.parquet(f"{cache}-next").write.mode("overwrite").parquet(cache)
-        return spark.read.parquet(cache)
+        store.publish({"rows": live()})
+        return store.read("rows")
 
-    rows, name = first_available(("live", fresh), ("cache", lambda: spark.read.parquet(cache)), *more)
+    rows, name = first_available(("live", fresh), ("cache", lambda: store.read("rows")), *more)
     return rows.withColumn("source", F.lit(name))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,12 +143,12 @@ def schedule_entries(documents: DataFrame, json_col: str = "json", park_col: str
 
 
 def first_available(*attempts: tuple[str, Callable[[], DataFrame]]) -> tuple[DataFrame, str]:
-    """The first source that can be read, and its name; an error that names all of them if none can."""
+    """The first source that can be read, and its name; an error that names all of them if none can. Errors that don't come from reading go on to the caller."""
     failed = []
     for name, read in attempts:
         try:
             return read(), name
-        except Exception as e:  # a source that is down or broken: the next one is asked
+        except (PySparkException, Py4JJavaError, OSError, LookupError) as e:  # a source that is down or broken: the next one is asked
             failed.append(f"{name}: {e}")
     raise RuntimeError("no source could be read; " + "; ".join(failed))
 
