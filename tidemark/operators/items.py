@@ -113,3 +113,18 @@ def projected(lat: Column, lon: Column, box: dict[str, Column]) -> list[Column]:
     x = (lon - box["west"]) / (box["east"] - box["west"]) * 100
     y = (box["north"] - lat) / (box["north"] - box["south"]) * 100
     return [clamp(x, 3.0, 97.0).alias("x"), clamp(y, 3.0, 97.0).alias("y")]
+
+
+def content_signature(columns: list[str]) -> dict[str, Column]:
+    """Aggregates (n, x, s) that are the same for the same rows in whatever order: their number, the exclusive or and the sum of 60 bits of a hash of each.
+
+    They merge by adding, exclusive or and adding, so parts can be hashed where they are; nothing is sorted or gathered.
+    """
+    said = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    h = F.conv(F.substring(F.md5(said.cast("binary")), 1, 15), 16, 10).cast("bigint")
+    return {"n": F.count(F.lit(1)), "x": F.bit_xor(h), "s": F.sum(h.cast("decimal(38,0)"))}
+
+
+def merged_signature() -> dict[str, Column]:
+    """Aggregates over signatures of parts: the signature of all their rows."""
+    return {"n": F.sum("n"), "x": F.bit_xor("x"), "s": F.sum("s").cast("decimal(38,0)")}
