@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import names, numbers, times
 from tidemark.operators import assembly, backfill, items, lineage, listings, quality
+from tidemark.operators.ordered import Ordered
 from tidemark.plans import publish
 from tidemark.plans.analyze import flat
 from tidemark.queries import SETTINGS, analysis, normal, obs_sql, query, read, schedule_table
@@ -26,10 +27,15 @@ def _box():
     return {k: F.lit(v) for k, v in BOX.items()}
 
 
+#: Records in a page of a park's documents.
+PAGE = 500
+
+
 def _documents(rows: DataFrame, field: str, record, order: str) -> DataFrame:
-    """A JSON document for each park: its records in order."""
-    told = rows.groupBy("park_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), record.alias("r")))), lambda x: x["r"]).alias(field))
-    return told.select("park_id", F.to_json(F.struct(field)).alias("json"))
+    """A park's records in order as pages of JSON, each with the number of its first record (``first``)."""
+    placed = Ordered(rows.withColumn("_r", record), ["park_id"], [order]).ordinal("_n").frame().withColumn("first", F.expr(f"(_n - 1) div {PAGE} * {PAGE}"))
+    told = placed.groupBy("park_id", "first").agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "_r"))), lambda x: x["_r"]).alias(field))
+    return told.select("park_id", "first", F.to_json(F.struct(field)).alias("json"))
 
 
 def _iso(hour, day: str = TODAY):
@@ -41,17 +47,22 @@ def _catalog(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     part = read(spark, sf_dir, "part").withColumns({"park_id": F.concat(F.lit("k"), F.col("p_size") % 10), "key": F.col("p_partkey")})
     key, size = F.col("key"), F.col("p_size")
     kind = F.when(size % 4 == 0, "ATTRACTION").when(size % 4 == 1, "SHOW").when(size % 4 == 2, "RESTAURANT")
-    place = F.when(key % 3 == 0, F.struct((size / 100 + 33).alias("latitude"), (size / -100 - 117).alias("lng")))
-    child = F.struct(F.concat(F.lit("e"), key).alias("id"), F.concat_ws(" ", "p_brand", (key % 400).cast("string")).alias("name"), kind.alias("entityType"), F.when(size % 3 == 0, F.col("p_brand")).alias("area"), place.alias("location"))
-    queue = F.when(key % 4 == 0, F.struct(F.struct(size.cast("double").alias("waitTime")).alias("STANDBY")))
+    place = F.when(key % 3 == 0, F.struct((size / 100 + 33).cast("string").alias("latitude"), (size / -100 - 117).alias("lng")))
+    standby = lambda wait: F.struct(F.struct(wait.cast("double").alias("waitTime")).alias("STANDBY"))
     hour = size % 24
+    own_shows = F.when(key % 6 == 1, F.array(F.struct(_iso(hour).alias("start"), _iso((hour + 1) % 24).alias("end"))))
+    child = F.struct(
+        F.concat(F.lit("e"), key).alias("id"), F.concat_ws(" ", "p_brand", (key % 400).cast("string")).alias("name"), kind.alias("entityType"), F.when(size % 3 == 0, F.col("p_brand")).alias("area"), F.when(key % 11 == 0, "Old Land").alias("land"),
+        place.alias("location"), F.when(key % 7 == 0, standby(size + 7)).alias("queue"), F.when(key % 5 == 0, (size + 3).cast("double")).alias("waitTime"), own_shows.alias("showTimes"),
+    )
+    queue = F.when(key % 4 == 0, standby(size))
     shows = F.array(F.struct(F.when(key % 8 == 0, _iso(hour, "2024-01-02")).otherwise(_iso(hour)).alias("startTime"), F.when(key % 6 == 0, _iso(hour)).otherwise(_iso((hour + 1) % 24)).alias("endTime")))
-    live = F.struct(F.concat(F.lit("e"), key).alias("id"), F.when(size > 25, "operating").otherwise("CLOSED").alias("status"), queue.alias("queue"), (size + 1).cast("double").alias("waitTime"), shows.alias("showtimes"))
-    entry = F.struct(F.when(key % 5 > 0, F.concat(F.lit("e"), key)).alias("entityId"), _iso(size % 12).alias("openingTime"), _iso(size % 12 + 8).alias("closingTime"))
+    live = F.struct(F.concat(F.lit("e"), key).alias("id"), F.when(size > 25, "operating").otherwise("CLOSED").alias("status"), F.when(key % 10 == 0, "New Area").alias("area"), queue.alias("queue"), (size + 1).cast("double").alias("waitTime"), shows.alias("showtimes"))
+    entry = F.struct(F.when(key % 5 > 0, F.concat(F.lit("e"), key)).alias("entityId"), F.lit(TODAY).alias("date"), F.when((key % 5 == 0) | (key % 4 < 3), _iso(size % 12)).alias("openingTime"), _iso(size % 12 + 8).alias("closingTime"))
     return {
-        "children": files.children(_documents(part, "children", child, "key")),
-        "live": files.live_entities(_documents(part.where("p_partkey % 2 = 0"), "liveData", live, "key")),
-        "entries": files.schedule_entries(_documents(part.where("p_size % 4 = 1 or p_partkey % 50 = 0"), "schedule", entry, "key")),
+        "children": files.children(_documents(part, "children", child, "key"), first_col="first"),
+        "live": files.live_entities(_documents(part.where("p_partkey % 2 = 0"), "liveData", live, "key"), first_col="first"),
+        "entries": files.schedule_entries(_documents(part.where("p_size % 4 = 1 or p_partkey % 50 = 0"), "schedule", entry, "key"), first_col="first"),
     }
 
 
@@ -66,16 +77,17 @@ def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CLOCK = "lpad(CAST({0} AS VARCHAR), 2, '0') || ':30'"
 _ENTITY_SQL = f"""p AS (SELECT 'k' || p_size % 10 AS park_id, p_partkey AS key, row_number() OVER (PARTITION BY p_size % 10 ORDER BY p_partkey) - 1 AS position, * FROM part),
-    en AS (SELECT park_id, CASE WHEN key % 5 > 0 THEN 'e' || key END AS id, p_size % 12 * 60 + 30 AS o, (p_size % 12 + 8) * 60 + 30 AS c, {_CLOCK.format('p_size % 12')} || ' - ' || {_CLOCK.format('p_size % 12 + 8')} AS t FROM p WHERE p_size % 4 = 1 OR key % 50 = 0),
+    en AS (SELECT park_id, CASE WHEN key % 5 > 0 THEN 'e' || key END AS id, CASE WHEN key % 5 = 0 OR key % 4 < 3 THEN p_size % 12 * 60 + 30 ELSE 0 END AS o, (p_size % 12 + 8) * 60 + 30 AS c,
+        CASE WHEN key % 5 = 0 OR key % 4 < 3 THEN {_CLOCK.format('p_size % 12')} ELSE '00:00' END || ' - ' || {_CLOCK.format('p_size % 12 + 8')} AS t FROM p WHERE p_size % 4 = 1 OR key % 50 = 0),
     hr AS (SELECT park_id, o, c FROM en WHERE id IS NULL UNION ALL SELECT DISTINCT park_id, 480, 1320 FROM en e WHERE NOT EXISTS (SELECT 1 FROM en x WHERE x.park_id = e.park_id AND x.id IS NULL)),
     sc AS (SELECT park_id, id, string_agg(DISTINCT t, '|') AS t FROM en WHERE id IS NOT NULL AND EXISTS (SELECT 1 FROM hr WHERE hr.park_id = en.park_id AND CASE WHEN en.o < hr.o THEN en.o + 1440 ELSE en.o END BETWEEN hr.o - 30 AND hr.c + 45) GROUP BY ALL),
     cu AS (SELECT lower(p_brand || ' ' || p_partkey % 400) AS k, arg_min(p_size + 0.25, p_partkey) AS lat, arg_min(p_size - 0.25, p_partkey) AS lon FROM part WHERE p_partkey % 7 = 0 GROUP BY 1),
     it AS (SELECT p.*, 'e' || key AS id, p_brand || ' ' || key % 400 AS name, key % 2 = 0 AS live, p_size % 24 AS h, p_size % 24 * 60 + 30 AS m,
         CASE p_size % 4 WHEN 0 THEN 'attraction' WHEN 1 THEN 'entertainment' END AS category, {_GRID.format(a='position', b='0')} FROM p),
-    sh AS (SELECT *, CASE WHEN live AND category = 'entertainment' AND key % 8 > 0 AND (NOT EXISTS (SELECT 1 FROM hr WHERE hr.park_id = it.park_id) OR EXISTS (SELECT 1 FROM hr WHERE hr.park_id = it.park_id AND CASE WHEN m < hr.o THEN m + 1440 ELSE m END BETWEEN hr.o - 30 AND hr.c + 45))
+    sh AS (SELECT *, CASE WHEN (CASE WHEN live THEN key % 8 > 0 ELSE key % 6 = 1 END) AND category = 'entertainment' AND (NOT EXISTS (SELECT 1 FROM hr WHERE hr.park_id = it.park_id) OR EXISTS (SELECT 1 FROM hr WHERE hr.park_id = it.park_id AND CASE WHEN m < hr.o THEN m + 1440 ELSE m END BETWEEN hr.o - 30 AND hr.c + 45))
         THEN CASE WHEN key % 6 = 0 THEN {_CLOCK.format('h')} ELSE {_CLOCK.format('h')} || ' - ' || {_CLOCK.format('(h + 1) % 24')} END END AS shown_at FROM it WHERE category IS NOT NULL),
-    entity AS (SELECT sh.park_id, sh.id, sh.name, category, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE 'Uncategorized' END AS land, CASE WHEN NOT live THEN 'UNKNOWN' WHEN p_size > 25 THEN 'operating' ELSE 'CLOSED' END AS status,
-        live AND p_size > 25 AS is_open, CASE WHEN live AND key % 4 = 0 THEN p_size WHEN live THEN p_size + 1 END::DOUBLE AS wait, CASE WHEN category = 'entertainment' THEN coalesce(shown_at, sc.t, '') ELSE '' END AS times,
+    entity AS (SELECT sh.park_id, sh.id, sh.name, category, CASE WHEN key % 11 = 0 THEN 'Old Land' WHEN live AND key % 10 = 0 THEN 'New Area' WHEN p_size % 3 = 0 THEN p_brand ELSE 'Uncategorized' END AS land, CASE WHEN NOT live THEN 'UNKNOWN' WHEN p_size > 25 THEN 'operating' ELSE 'CLOSED' END AS status,
+        live AND p_size > 25 AS is_open, CASE WHEN live AND key % 4 = 0 THEN p_size WHEN key % 7 = 0 THEN p_size + 7 WHEN live THEN p_size + 1 WHEN key % 5 = 0 THEN p_size + 3 END::DOUBLE AS wait, CASE WHEN category = 'entertainment' THEN coalesce(shown_at, sc.t, '') ELSE '' END AS times,
         CASE WHEN key % 3 = 0 THEN p_size::DOUBLE / 100 + 33 WHEN cu.k IS NOT NULL THEN cu.lat::DOUBLE ELSE glat END AS lat, CASE WHEN key % 3 = 0 THEN p_size::DOUBLE / -100 - 117 WHEN cu.k IS NOT NULL THEN cu.lon::DOUBLE ELSE glon END AS lon,
         CASE WHEN key % 3 = 0 OR cu.k IS NOT NULL THEN 'curated' ELSE 'estimated' END AS location_source FROM sh LEFT JOIN sc ON sc.park_id = sh.park_id AND sc.id = sh.id LEFT JOIN cu ON cu.k = lower(sh.name))"""
 
@@ -114,12 +126,14 @@ def _queue_documents(spark, sf_dir) -> DataFrame:
     key = F.col("s_suppkey")
     ride = F.struct(key.cast("string").alias("id"), F.concat(F.lit("Ride "), key % 60).alias("name"), (F.col("s_acctbal") > 0).alias("is_open"), F.when(key % 9 > 0, F.floor(F.col("s_acctbal") / 100).cast("double")).alias("wait_time"))
     rows = read(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("park_id"), key.alias("key"), (key % 4).alias("land"), ride.alias("ride"))
-    lands = rows.groupBy("park_id", "land").agg(F.transform(F.sort_array(F.collect_list(F.struct("key", "ride"))), lambda x: x["ride"]).alias("rides"))
-    told = lands.groupBy("park_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.when(F.col("land") < 3, F.struct("land", F.struct(F.concat(F.lit("Land "), "land").alias("name"), "rides").alias("x"))))), lambda x: x["x"]).alias("lands"),
-        F.flatten(F.collect_list(F.when(F.col("land") == 3, F.col("rides")))).alias("rides"),
-    )
-    return told.select("park_id", F.to_json(F.struct("lands", "rides")).alias("json"))
+    placed = Ordered(rows, ["park_id", "land"], ["key"]).ordinal("n").frame().withColumn("first_ride", F.expr(f"(n - 1) div {PAGE} * {PAGE}"))
+    pages = placed.groupBy("park_id", "land", "first_ride").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "ride"))), lambda x: x["ride"]).alias("rides"))
+    # A park has three lands at most; their numbers are those of the lands before them that have rides.
+    lands = rows.where("land < 3").groupBy("park_id").agg(F.sort_array(F.collect_set("land")).alias("all"))
+    number = F.size(F.filter(F.coalesce("all", F.array().cast("array<bigint>")), lambda x: x < F.col("land")))
+    inside = F.when(F.col("land") < 3, F.array(F.struct(F.concat(F.lit("Land "), "land").alias("name"), "rides")))
+    told = pages.join(lands, "park_id", "left").select("park_id", number.alias("first_land"), "first_ride", inside.alias("lands"), F.when(F.col("land") == 3, F.col("rides")).alias("rides"))
+    return told.select("park_id", "first_land", "first_ride", F.to_json(F.struct("lands", "rides")).alias("json"))
 
 
 _QUEUE_SQL = """s AS (SELECT 'n' || s_nationkey AS park_id, s_suppkey AS key, s_suppkey % 4 AS l, * FROM supplier),
@@ -128,9 +142,13 @@ _QUEUE_SQL = """s AS (SELECT 'n' || s_nationkey AS park_id, s_suppkey AS key, s_
         row_number() OVER (PARTITION BY s.park_id, l ORDER BY key) - 1 AS ride_index, 'Ride ' || key % 60 AS name, s_acctbal > 0 AS is_open, CASE WHEN key % 9 > 0 THEN floor(s_acctbal / 100) END AS wait FROM s LEFT JOIN li USING (park_id, l))"""
 
 
+def _queue_rides(spark, sf_dir) -> DataFrame:
+    return files.queue_feed(_queue_documents(spark, sf_dir), first_land_col="first_land", first_ride_col="first_ride")
+
+
 @query(f"WITH {_QUEUE_SQL} SELECT park_id, land, CAST(land_index AS INT) AS land_index, CAST(ride_index AS INT) AS ride_index, CAST(key AS VARCHAR) AS ride_id, name AS ride_name, is_open, wait FROM q")
 def queue_rides(spark, sf_dir):
-    return files.queue_feed(_queue_documents(spark, sf_dir)).drop("last_updated")
+    return _queue_rides(spark, sf_dir).drop("last_updated")
 
 
 @query(f"""WITH {_QUEUE_SQL}, cu AS (SELECT 'ride ' || n_nationkey AS k, n_regionkey + 0.5 AS lat, n_nationkey + 0.5 AS lon FROM nation WHERE n_nationkey % 2 = 0), g AS (SELECT *, {_GRID.format(a='land_index', b='ride_index')} FROM q)
@@ -139,7 +157,7 @@ def queue_rides(spark, sf_dir):
 def queue_items(spark, sf_dir):
     key = F.col("n_nationkey")
     curated = read(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select(key.alias("position"), F.concat(F.lit("Ride "), key).alias("name"), (F.col("n_regionkey") + 0.5).alias("lat"), (key + 0.5).alias("lon"))
-    return _plain(assembly.queue_items(files.queue_feed(_queue_documents(spark, sf_dir)), curated, _box()))
+    return _plain(assembly.queue_items(_queue_rides(spark, sf_dir), curated, _box()))
 
 
 @query("SELECT 'a' AS park_id, c_custkey AS id FROM customer UNION ALL SELECT 'b', s_suppkey FROM supplier")

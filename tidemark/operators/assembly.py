@@ -19,11 +19,18 @@ def wait_of(queue: Column, wait: Column, other: Column) -> Column:
     return F.when(~F.isnan(found) & (F.abs(found) < float("inf")), found)
 
 
+def _number(value: Column) -> Column:
+    """A coordinate that may be a text; an empty one is 0, what is no finite number is null."""
+    text = F.trim(value.cast("string"))
+    found = F.when(text == "", F.lit(0.0)).otherwise(text.try_cast("double"))
+    return F.when(~F.isnan(found) & (F.abs(found) < float("inf")), found)
+
+
 def place_of(location: Column, coordinates: Column) -> Column:
-    """(lat, lon) of the first of two objects, in any of the spellings feeds use; null unless both are there."""
+    """(lat, lon) of the first of two objects, in any of the spellings feeds use, as numbers or texts; null unless both are there."""
     o = F.coalesce(location, coordinates)
-    lat, lon = F.coalesce(o["latitude"], o["lat"]), F.coalesce(o["longitude"], o["lng"], o["lon"])
-    return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.cast("double").alias("lat"), lon.cast("double").alias("lon")))
+    lat, lon = _number(F.coalesce(o["latitude"], o["lat"])), _number(F.coalesce(o["longitude"], o["lng"], o["lon"]))
+    return F.when(lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
 def range_text(start: Column, end: Column, zone: str) -> Column:
@@ -49,8 +56,11 @@ def show_times(shows: Column, hours: Column, today: Column, zone: str) -> Column
 
 
 def schedule_times(entries: DataFrame, hours: DataFrame, zone: str) -> DataFrame:
-    """(park_id, id, times) of the schedule's entries (park_id, id, opening, closing) that are of an entity and within the park's ``hours`` (park_id, hours)."""
-    timed = entries.where("coalesce(id, '') <> ''").withColumn("t", range_text(F.col("opening"), F.col("closing"), zone)).where("t is not null")
+    """(park_id, id, times) of the schedule's entries (park_id, id, date, opening, closing) that are of an entity and within the park's ``hours`` (park_id, hours).
+
+    An entry without an opening begins with its date.
+    """
+    timed = entries.where("coalesce(id, '') <> ''").withColumn("t", range_text(F.coalesce("opening", "date"), F.col("closing"), zone)).where("t is not null")
     inside = timed.join(hours, "park_id", "left").where(times.within_hours(F.col("t"), F.col("hours")))
     return inside.groupBy("park_id", "id").agg(times.sorted_times(F.collect_set("t")).alias("times"))
 
@@ -80,20 +90,21 @@ def with_place(items: DataFrame, curated: DataFrame, box: dict[str, Column], lan
 def entity_items(children: DataFrame, live: DataFrame, scheduled: DataFrame, curated: DataFrame, hours: DataFrame, box: dict[str, Column], today: Column, zone: str) -> DataFrame:
     """Items of the catalogue's entities that are attractions or entertainment, with live data by id where there is any.
 
-    What live data says goes before the catalogue, the last of several live rows of an id counts. Entertainment has the times of
-    its live shows, else of the schedule.
+    Each field that live data has goes before the same one of the catalogue, and only then is a land taken before an area, a queue
+    before a wait, and one spelling before another: a land of the catalogue beats a live area. The last of several live rows of
+    an id counts. A field that is null counts as absent. Entertainment has the times of its shows, else of the schedule.
     """
     fields = [c for c in live.columns if c not in ("park_id", "id", "position")]
     last = live.groupBy("park_id", "id").agg(F.max_by(F.struct(*fields), "position").alias("live"))
     met = children.join(last, ["park_id", "id"], "left").join(scheduled.withColumnRenamed("times", "_scheduled"), ["park_id", "id"], "left").join(hours, "park_id", "left")
     said = F.col("live")
-    both = lambda c: F.coalesce(said[c], F.col(c)) if c in children.columns else said[c]
+    both = lambda c: F.coalesce(said[c], F.col(c))
     kind = F.coalesce(F.nullif("entity_type", F.lit("")), said["entity_type"], F.lit(""))
     none = F.array().cast("array<string>")
-    shows = show_times(both("shows"), F.col("hours"), today, zone)
+    shows = show_times(F.coalesce(both("shows"), both("other_shows")), F.col("hours"), today, zone)
     rows = met.select(
         "park_id", "id", "position", both("name").alias("name"), category(kind).alias("category"), kind.alias("entity_type"),
-        F.coalesce(F.nullif(both("land"), F.lit("")), F.lit("Uncategorized")).alias("land"), F.coalesce(F.nullif(both("status"), F.lit("")), F.lit("UNKNOWN")).alias("status"),
+        F.coalesce(F.nullif(both("land"), F.lit("")), F.nullif(both("area"), F.lit("")), F.lit("Uncategorized")).alias("land"), F.coalesce(F.nullif(both("status"), F.lit("")), F.lit("UNKNOWN")).alias("status"),
         wait_of(both("queue"), both("wait_time"), both("other_wait")).alias("wait"), place_of(both("location"), both("coordinates")).alias("_place"), shows.alias("_shows"), "_scheduled",
     ).where("category is not null")
     timed = F.when(F.col("category") == "entertainment", F.when(F.size("_shows") > 0, F.col("_shows")).otherwise(F.coalesce("_scheduled", none))).otherwise(none)

@@ -97,49 +97,67 @@ RIDE = "struct<id: string, name: string, is_open: boolean, wait_time: double, la
 FEED = f"lands array<struct<name: string, rides: array<{RIDE}>>>, rides array<{RIDE}>"
 
 
-def queue_feed(documents: DataFrame, json_col: str = "json", park_col: str = "park_id") -> DataFrame:
-    """(park_id, land, land_index, ride_index, ride_id, ride_name, is_open, wait, last_updated): rides of the lands, then those without one (land Other)."""
-    parsed = documents.select(F.col(park_col).alias("park_id"), F.from_json(json_col, FEED).alias("d"))
-    lands = parsed.select("park_id", F.posexplode("d.lands").alias("land_index", "l")).select("park_id", F.col("l.name").alias("land"), "land_index", F.posexplode("l.rides").alias("ride_index", "r"))
-    number = F.greatest(F.lit(0), F.coalesce(F.size("d.lands"), F.lit(0))).alias("land_index")
-    rest = parsed.select("park_id", F.lit("Other").alias("land"), number, F.posexplode("d.rides").alias("ride_index", "r"))
+def queue_feed(documents: DataFrame, json_col: str = "json", park_col: str = "park_id", first_land_col: str | None = None, first_ride_col: str | None = None) -> DataFrame:
+    """(park_id, land, land_index, ride_index, ride_id, ride_name, is_open, wait, last_updated): rides of the lands, then those without one (land Other).
+
+    A document that is a page of a park's feed has the number of its first land, and of the first ride of that land.
+    """
+    first = lambda c, as_: (F.col(c) if c else F.lit(0)).cast("int").alias(as_)
+    parsed = documents.select(F.col(park_col).alias("park_id"), first(first_land_col, "l0"), first(first_ride_col, "r0"), F.from_json(json_col, FEED).alias("d"))
+    lands = parsed.select("park_id", "l0", "r0", F.posexplode("d.lands").alias("k", "l")).select("park_id", F.col("l.name").alias("land"), (F.col("l0") + F.col("k")).alias("land_index"), F.when(F.col("k") == 0, F.col("r0")).otherwise(0).alias("r0"), F.posexplode("l.rides").alias("i", "r"))
+    number = (F.col("l0") + F.greatest(F.lit(0), F.coalesce(F.size("d.lands"), F.lit(0)))).alias("land_index")
+    rest = parsed.select("park_id", F.lit("Other").alias("land"), number, "r0", F.posexplode("d.rides").alias("i", "r"))
     fields = [F.col("r.id").alias("ride_id"), names.repaired(F.col("r.name")).alias("ride_name"), F.coalesce("r.is_open", F.lit(False)).alias("is_open"), F.col("r.wait_time").alias("wait"), F.col("r.last_updated").alias("last_updated")]
-    return lands.unionByName(rest).select("park_id", names.repaired(F.col("land")).alias("land"), "land_index", "ride_index", *fields)
+    return lands.unionByName(rest).select("park_id", names.repaired(F.col("land")).alias("land"), "land_index", (F.col("r0") + F.col("i")).alias("ride_index"), *fields)
 
 
-_PLACE = "struct<latitude: double, lat: double, longitude: double, lng: double, lon: double>"
-_ENTITY = f"id: string, name: string, entityType: string, land: string, area: string, status: string, location: {_PLACE}, coordinates: {_PLACE}"
-CHILDREN = f"children array<struct<{_ENTITY}>>"
+_PLACE = "struct<latitude: string, lat: string, longitude: string, lng: string, lon: string>"
 _SHOW = "struct<startTime: string, start: string, startDate: string, endTime: string, end: string, endDate: string>"
-LIVE = f"liveData array<struct<{_ENTITY}, queue: map<string, struct<waitTime: double>>, waitTime: double, wait_time: double, showtimes: array<{_SHOW}>>>"
+_ENTITY = f"""id: string, name: string, entityType: string, land: string, area: string, status: string, location: {_PLACE}, coordinates: {_PLACE},
+    queue: map<string, struct<waitTime: double>>, waitTime: double, wait_time: double, showtimes: array<{_SHOW}>, showTimes: array<{_SHOW}>"""
 ENTRIES = "schedule array<struct<id: string, entityId: string, date: string, openingTime: string, startTime: string, start: string, closingTime: string, endTime: string, end: string>>"
 
 
-def _entities(documents: DataFrame, schema: str, what: str, json_col: str, park_col: str) -> DataFrame:
-    parsed = documents.select(F.col(park_col).alias("park_id"), F.from_json(json_col, schema).alias("d"))
-    return parsed.select("park_id", F.posexplode(f"d.{what}").alias("position", "e"))
+def _apart(schema: str) -> str:
+    """The schema with a name of its own for the spelling that differs in a capital only, as columns are told apart without regard to case."""
+    return schema.replace("showTimes:", "otherShows:").replace(" array<", ": array<", 1)
 
 
-def _entity() -> list:
-    return [F.col("e.id").alias("id"), F.col("e.name").alias("name"), F.col("e.entityType").alias("entity_type"), F.coalesce(F.nullif("e.land", F.lit("")), "e.area").alias("land"), F.col("e.status").alias("status"), F.col("e.location").alias("location"), F.col("e.coordinates").alias("coordinates")]
+def _entities(documents: DataFrame, schema: str, what: str, json_col: str, park_col: str, first_col: str | None) -> DataFrame:
+    """The records of documents, numbered as in the whole of a park's documents: a page of it says with which number it begins."""
+    first = F.col(first_col) if first_col else F.lit(0)
+    parsed = documents.select(F.col(park_col).alias("park_id"), first.cast("int").alias("first"), F.from_json(json_col, schema).cast(f"struct<{_apart(schema)}>").alias("d"))
+    return parsed.select("park_id", "first", F.posexplode(f"d.{what}").alias("position", "e")).withColumn("position", F.col("first") + F.col("position"))
 
 
-def children(documents: DataFrame, json_col: str = "json", park_col: str = "park_id") -> DataFrame:
-    """The entities of catalogue documents, in order; what is no array has none."""
-    return _entities(documents, CHILDREN, "children", json_col, park_col).select("park_id", "position", *_entity())
+def _filled(*names: str):
+    """The first of several fields that is neither absent nor empty."""
+    return F.coalesce(*[F.nullif(n, F.lit("")) for n in names])
 
 
-def live_entities(documents: DataFrame, json_col: str = "json", park_col: str = "park_id") -> DataFrame:
-    """The entities of live documents with queue, waits and shows (start, end)."""
-    rows = _entities(documents, LIVE, "liveData", json_col, park_col)
+def _entity() -> list:
     show = lambda s: F.struct(F.coalesce(s["startTime"], s["start"], s["startDate"]).alias("start"), F.coalesce(s["endTime"], s["end"], s["endDate"]).alias("end"))
-    return rows.select("park_id", "position", *_entity(), F.col("e.queue").alias("queue"), F.col("e.waitTime").alias("wait_time"), F.col("e.wait_time").alias("other_wait"), F.transform("e.showtimes", show).alias("shows"))
+    same = ["id", "name", "land", "area", "status", "location", "coordinates", "queue"]
+    return [
+        *[F.col(f"e.{c}").alias(c) for c in same], F.col("e.entityType").alias("entity_type"), F.col("e.waitTime").alias("wait_time"), F.col("e.wait_time").alias("other_wait"),
+        F.transform("e.showtimes", show).alias("shows"), F.transform("e.otherShows", show).alias("other_shows"),
+    ]
+
+
+def children(documents: DataFrame, json_col: str = "json", park_col: str = "park_id", first_col: str | None = None) -> DataFrame:
+    """The entities of catalogue documents, in order, with queues, waits and shows (start, end) of their own; what is no array has none."""
+    return _entities(documents, f"children array<struct<{_ENTITY}>>", "children", json_col, park_col, first_col).select("park_id", "position", *_entity())
+
+
+def live_entities(documents: DataFrame, json_col: str = "json", park_col: str = "park_id", first_col: str | None = None) -> DataFrame:
+    """The entities of live documents, with the same columns."""
+    return _entities(documents, f"liveData array<struct<{_ENTITY}>>", "liveData", json_col, park_col, first_col).select("park_id", "position", *_entity())
 
 
-def schedule_entries(documents: DataFrame, json_col: str = "json", park_col: str = "park_id") -> DataFrame:
+def schedule_entries(documents: DataFrame, json_col: str = "json", park_col: str = "park_id", first_col: str | None = None) -> DataFrame:
     """(park_id, position, id, date, opening, closing) of all entries of schedule documents, those of entities too."""
-    rows = _entities(documents, ENTRIES, "schedule", json_col, park_col)
-    return rows.select("park_id", "position", F.coalesce("e.id", "e.entityId").alias("id"), F.col("e.date").alias("date"), F.coalesce("e.openingTime", "e.startTime", "e.start").alias("opening"), F.coalesce("e.closingTime", "e.endTime", "e.end").alias("closing"))
+    rows = _entities(documents, ENTRIES, "schedule", json_col, park_col, first_col)
+    return rows.select("park_id", "position", _filled("e.id", "e.entityId").alias("id"), F.col("e.date").alias("date"), _filled("e.openingTime", "e.startTime", "e.start").alias("opening"), _filled("e.closingTime", "e.endTime", "e.end").alias("closing"))
 
 
 def first_available(*attempts: tuple[str, Callable[[], DataFrame]]) -> tuple[DataFrame, str]:
