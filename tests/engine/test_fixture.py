@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Settings
 from tidemark.operators import lineage, quality
-from tidemark.plans.analyze import analyze, markdown, report, write
+from tidemark.plans.analyze import analyze, markdown, page, publish, report, write
 from tidemark.sources import files
 from tidemark.streaming.collect import collect
 
@@ -103,6 +103,7 @@ def test_report(found, tmp_path):
     assert (row.missing_snapshots, row.unexpected_snapshots) == (1, 0) and len(row.recommendations) == 4
     text = markdown(row)
     assert "| dca | 4 |" in text and "- Total rows: 9" in text
+    assert (row.duplicate_groups, row.conflict_groups) == (1, 2) and "- Duplicate groups: 1" in text
     doubled = quality.duplicate_groups(found.cleaned).collect()
     assert [[x.ride_id for x in g.records] for g in doubled] == [["mickey-a", "mickey-b"]]
     conflicts = quality.conflict_groups(found.cleaned).collect()
@@ -113,6 +114,36 @@ def test_report(found, tmp_path):
     assert not (tmp_path / "none").exists()
 
 
+def test_page(found):
+    text = page(found, "2026-07-01")
+    assert "| dca | Soarin' Across America | 2 | 2 | 1 | 1 | use_wait_reference |" in text
+    assert "## Possible full-day closed rides" in text and "| disneyland | Space Mountain | 1 | 1 | 1.0 |" in text
+    assert "## Stale sources" in text and "## Temporary" not in text and "| 2026-07-01 17:05:00 | disneyland | missing |" in text
+    assert "more are not shown" not in text and "more are not shown" not in page(found, "2026-07-01", 1)
+    with pytest.raises(LookupError):
+        page(found, "2026-07-02")
+
+
+def test_publish(found, raw, tmp_path):
+    store = publish(found, f"{tmp_path}/s")
+    assert store.read("cleaned").count() == 9 and store.read("report").first().summary.total_rows == 9
+    later = analyze(files.typed(raw.withColumn("file_date", F.lit("2026-07-02")).limit(4)))
+    publish(later, f"{tmp_path}/s")
+    assert {(r.file_date, r["count"]) for r in store.read("cleaned").groupBy("file_date").count().collect()} == {("2026-07-01", 9), ("2026-07-02", 4)}
+
+
+def test_large_groups_in_chunks(found, monkeypatch):
+    monkeypatch.setattr(quality, "LISTED", 2)
+    rows = found.cleaned.sparkSession.range(7).select(F.lit("d").alias("file_date"), F.lit("s").alias("snapshot_ts"), F.when(F.col("id") < 5, "p").otherwise("q").alias("park_id"), F.lit("n").alias("name"), (F.col("id") * 5000).alias("src_row"), F.col("id").alias("ride_id"), F.lit("x").alias("ride_name"), F.lit(True).alias("is_open"), F.lit(1.0).alias("wait"))
+    got = {(r.park_id, r.row_count, r.chunk): [x.ride_id for x in r.records] for r in quality.duplicate_groups(rows).collect()}
+    assert got == {("p", 5, 0): [0, 1], ("p", 5, 1): [2, 3], ("p", 5, 2): [4], ("q", 2, 0): [5, 6]}
+
+
+def test_distinct_counts_without_expand(found):
+    plan = quality.summary(found.cleaned)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan
+
+
 def test_settings(raw):
     half = analyze(files.typed(raw, Settings(blank_as_zero=False)), settings=Settings(stale_minutes=120, blank_as_zero=False))
     rows = {r.ride_id: r for r in half.cleaned.collect()}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Settings
 from tidemark.functions import times
 from tidemark.operators.observations import has_flag, is_stale
+from tidemark.operators.ordered import Ordered
 
 # What is recommended, in this order; the last one always.
 ADVICE = {
@@ -31,13 +32,24 @@ def _named(found: dict[str, Column]) -> list[Column]:
     return [v.alias(k) for k, v in found.items()]
 
 
+def _distinct(rows: DataFrame, by: list[str], name: str, *columns: str) -> DataFrame:
+    """How many distinct values of the columns each group has: distinct rows first, then their number. Only these columns are read and shuffled."""
+    return rows.select(*by, *columns).na.drop(subset=list(columns)).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+
+
 def summary(cleaned: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Per file date: rows, distinct snapshots, rides and attractions, and rows by state and use."""
+    """Per file date: rows, distinct snapshots, rides and attractions, and rows by state and use.
+
+    Each distinct count has an aggregation of its own, so no row is multiplied by the number of counts.
+    """
     use = lambda x: _count(F.col("training_eligibility") == x)
-    distinct = {"snapshots": F.countDistinct("snapshot_ts"), "rides": F.countDistinct("park_id", "ride_key"), "canonical_attractions": F.countDistinct("canonical_id")}
     others = {"stale_rows": _count(is_stale(settings)), "single_rider_rows": _count(F.col("is_single_rider")), "entertainment_rows": _count(F.col("is_entertainment"))}
     uses = {"standby_model_rows": use("standby_wait_model"), "status_only_rows": use("status_model_only")}
-    return cleaned.groupBy("file_date").agg(F.count(F.lit(1)).alias("total_rows"), *_named(distinct | _states() | others | uses))
+    out = cleaned.groupBy("file_date").agg(F.count(F.lit(1)).alias("total_rows"), *_named(_states() | others | uses))
+    distinct = {"snapshots": ["snapshot_ts"], "rides": ["park_id", "ride_key"], "canonical_attractions": ["canonical_id"]}
+    for name, columns in distinct.items():
+        out = out.join(_distinct(cleaned, ["file_date"], name, *columns), "file_date", "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out.select("file_date", "total_rows", *distinct, *_states(), *others, *uses)
 
 
 def park_summary(cleaned: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -63,13 +75,16 @@ LISTED = 1000
 def _groups(rows: DataFrame, keys: list[str], record: list[Column]) -> DataFrame:
     """Groups of more than one row: their number, and the records in order.
 
-    Sizes are counted first and only rows of such groups go on. Records of one group are numbered in a sorted shuffle and
-    collected as chunks of ``LISTED``, so a very large group has several rows (chunk 0, 1, ...) and no task holds it whole.
+    Sizes are counted first and only rows of such groups go on. A group of more than ``LISTED`` records has several rows: chunk 0
+    with its first ``LISTED`` records by ``src_row``, chunk 1 with the next ones, and so on. Their numbers are worked out over
+    range partitions, so no task holds a very large group whole.
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).where("row_count > 1")
-    several = rows.join(sizes, keys)
-    chunk = F.when(F.col("row_count") > LISTED, F.floor(F.col("src_row") / LISTED)).otherwise(0).alias("chunk")
-    return several.groupBy(*keys, "row_count", chunk).agg(F.transform(F.sort_array(F.collect_list(F.struct("src_row", F.struct(*record).alias("r")))), lambda x: x["r"]).alias("records"))
+    several = rows.join(sizes, keys).select(*keys, "row_count", "src_row", F.struct(*record).alias("r"))
+    large = Ordered(several.where(F.col("row_count") > LISTED), keys, ["src_row"]).ordinal("n").frame()
+    large = large.withColumn("chunk", F.floor((F.col("n") - 1) / LISTED)).drop("n")
+    all_ = several.where(F.col("row_count") <= LISTED).withColumn("chunk", F.lit(0).cast("long")).unionByName(large)
+    return all_.groupBy(*keys, "row_count", "chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("src_row", "r"))), lambda x: x["r"]).alias("records"))
 
 
 def duplicate_groups(rows: DataFrame) -> DataFrame:

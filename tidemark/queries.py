@@ -153,17 +153,23 @@ def _record(*columns: str):
 _GROUP_SQL = "string_agg(concat_ws('/', ride_id, ride_name, CASE WHEN is_open THEN 'true' ELSE 'false' END, CAST(CAST(wait AS INT) AS VARCHAR)), ';' ORDER BY src_row) AS records"
 
 
+def _group_sql(keys: str) -> str:
+    """Groups of more than one row, in chunks of a thousand records."""
+    k = f"file_date, snapshot_ts, park_id, {keys}"
+    return f"SELECT {k}, row_count, chunk, {_GROUP_SQL} FROM (SELECT *, count(*) OVER (PARTITION BY {k}) AS row_count, (row_number() OVER (PARTITION BY {k} ORDER BY src_row) - 1) // {quality.LISTED} AS chunk FROM norm) WHERE row_count > 1 GROUP BY ALL"
+
+
 def _groups_flat(groups: DataFrame) -> DataFrame:
     said = F.transform("records", lambda x: F.concat_ws("/", x["ride_id"], x["ride_name"], x["is_open"].cast("string"), x["wait"].cast("int").cast("string")))
-    return groups.withColumn("records", F.array_join(said, ";")).drop("chunk")
+    return groups.withColumn("records", F.array_join(said, ";"))
 
 
-@query(obs_sql(f"SELECT file_date, snapshot_ts, park_id, name, count(*) AS row_count, {_GROUP_SQL} FROM norm GROUP BY ALL HAVING count(*) > 1"))
+@query(obs_sql(_group_sql("name")))
 def duplicate_groups(spark, sf_dir):
     return _groups_flat(quality.duplicate_groups(normal(spark, sf_dir)))
 
 
-@query(obs_sql(f"SELECT file_date, snapshot_ts, park_id, canonical_id, access_mode, count(*) AS row_count, {_GROUP_SQL} FROM norm GROUP BY ALL HAVING count(*) > 1"))
+@query(obs_sql(_group_sql("canonical_id, access_mode")))
 def conflict_groups(spark, sf_dir):
     return _groups_flat(quality.conflict_groups(normal(spark, sf_dir)))
 
@@ -370,3 +376,13 @@ _ADVICE = ", ".join(f"CASE WHEN {c} THEN '{t}' END" for c, t in zip(("s > 0", "d
 def recommendations(spark, sf_dir):
     found = analysis(spark, sf_dir)
     return quality.recommendations(found.cleaned, found.ready, found.singles, SETTINGS).withColumn("recommendations", F.array_join("recommendations", "\n"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, bit_xor(h) AS x, CAST(sum(h) AS VARCHAR) AS s FROM (SELECT *, CAST('0x' || left(md5('{\"k\":' || l_orderkey || ',\"n\":' || l_linenumber || ',\"d\":' || CAST(CAST(l_quantity AS INT) AS VARCHAR) || '}'), 15) AS BIGINT) AS h FROM lineitem) GROUP BY ALL")
+def mergeable_signature(spark, sf_dir):
+    """Signatures of groups, made of those of their parts by ship mode."""
+    named = lambda made: [v.alias(k) for k, v in made.items()]
+    rows = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_orderkey") % 16).alias("part"), F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("d"))
+    keys = ["l_returnflag", "l_linestatus"]
+    parts = rows.groupBy(*keys, "part").agg(*named(items.content_signature(["k", "n", "d"])))
+    return parts.groupBy(*keys).agg(*named(items.merged_signature())).withColumn("s", F.col("s").cast("string"))
