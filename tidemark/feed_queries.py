@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.config import Settings
 from tidemark.functions import names, numbers, times
 from tidemark.operators import assembly, backfill, items, lineage, listings, quality
 from tidemark.operators.ordered import Ordered
 from tidemark.plans import publish
-from tidemark.plans.analyze import flat
+from tidemark.plans.analyze import flat, report
+from tidemark.plans.versions import Published
 from tidemark.queries import SETTINGS, analysis, normal, obs_sql, query, read, schedule_table
 from tidemark.sources import files
 from tidemark.sources.events import event_observations
-from tidemark.streaming.collect import gated
+from tidemark.streaming.collect import STATE, gated, thinned
+from tidemark.streaming.collect import changed_snapshots as changed
+from tidemark.workspace import Workspace
 
 ZONE, TODAY = "UTC", "2024-01-01"
 BOX = {"north": 34.0, "south": 33.0, "west": -118.0, "east": -117.0}
@@ -167,11 +168,8 @@ def all_parks(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder that all machines share; a folder of this machine where it is the only one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir names no shared folder")
-    return f"{found or tempfile.mkdtemp(prefix='tidemark-')}/files-{uuid.uuid4().hex}"
+    """A new folder that all machines share; it goes when the driver ends."""
+    return Workspace(spark, "files").root
 
 
 @query(r"""SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS file_date, CAST(event_id AS VARCHAR) AS ride_id, 'He said "' || event_type || '",' || chr(10) || 'x' AS ride_name, value >= 50 AS is_open, CASE WHEN event_id % 7 = 0 THEN 0.0 WHEN event_id % 11 = 0 THEN NULL ELSE event_id % 90 END::DOUBLE AS wait,
@@ -247,8 +245,8 @@ def snapshots_in_order(spark, sf_dir):
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """Sorted rows with their place: the number within the partition plus the rows of those before, which are in order."""
-    placed = rows.withColumn("_id", F.monotonically_increasing_id())
+    """Sorted rows with their place: the number within the partition plus the rows of those before. The sorted rows are written once, so both readings number alike."""
+    placed = Workspace(rows.sparkSession, "sorted").table(rows.withColumn("_id", F.monotonically_increasing_id()), "rows")
     part, inside = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("k"))
     # One row for each partition.
@@ -354,3 +352,119 @@ def raw_problems(spark, sf_dir):
     cells = {c: F.lit("x") for c in lineage.REQUIRED} | {"snapshot_utc": F.when(key % 3 == 0, "").otherwise("x"), "park_id": F.when(key % 3 > 0, "x"), "snapshot_timezone": F.when(key % 5 == 0, "UTC").otherwise("America/Los_Angeles")}
     raw = read(spark, sf_dir, "nation").select(key.alias("src_row"), F.lit("d").alias("file_date"), *[v.alias(k) for k, v in cells.items()])
     return lineage.problems(raw).select(F.col("src_row").alias("n_nationkey"), F.lit("nation").alias("row_type"), F.array_join("missing", ",").alias("missing"), "wrong_zone")
+
+
+@query("""WITH e AS (SELECT *, CAST(CAST(ts AS DATE) AS VARCHAR) AS file_date, CASE WHEN day(ts) % 3 = 0 THEN 13 ELSE 14 END AS width FROM events)
+    SELECT file_date, count(*) AS records, count(*) FILTER (event_id % 10 = 1) AS short, count(*) FILTER (event_id % 10 = 2) AS long, count(*) FILTER (event_id % 13 = 0) AS bad_instants,
+        count(*) FILTER (event_id % 11 = 0) AS bad_waits, count(*) FILTER (value < 10) AS unknown_status FROM e GROUP BY file_date""")
+def damaged_files(spark, sf_dir):
+    """Events as daily files of two widths with ragged rows, quoted commas, bad instants, waits and states, and what is found of them."""
+    ts, key = F.col("ts").cast("timestamp"), F.col("event_id")
+    wide = F.dayofmonth(ts) % 3 != 0
+    utc = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    quoted = F.concat(F.lit('"He said ""'), "event_type", F.lit('"", twice"'))
+    cells = [F.when(key % 13 == 0, "soon").otherwise(utc), *[F.lit(x) for x in ("", "", "UTC", "p", "P", "L")], key.cast("string"), quoted,
+        F.when(F.col("value") < 10, "maybe").otherwise("True"), F.when(key % 11 == 0, "12d").otherwise("5"), utc, F.lit("")]
+    line = F.concat_ws(",", *cells[:12], *[F.when(key % 10 != 1, c) for c in [F.lit("")]], F.when((key % 10 != 1) & wide, "u"), F.when(key % 10 == 2, "more"))
+    # A row that is short lacks the last cells.
+    rows = read(spark, sf_dir, "events").select(F.to_date(ts).cast("string").alias("file_date"), key.alias("at"), line.alias("line"), wide.alias("wide"))
+    heads = rows.select("file_date", "wide").distinct().select("file_date", F.lit(-1).cast("long").alias("at"), F.when(F.col("wide"), ",".join(files.RAW_COLUMNS)).otherwise(",".join(files.RAW_COLUMNS[:-1])).alias("line"))
+    folder = _scratch(spark)
+    publish.export_lines(rows.drop("wide").unionByName(heads), folder, "line", "at")
+    return files.damage(spark, folder, settings=SETTINGS)
+
+
+@query("SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'array' WHEN 1 THEN 'absent' WHEN 2 THEN 'other' WHEN 3 THEN 'broken' ELSE 'other' END AS state, CASE o_orderkey % 5 WHEN 0 THEN 2 ELSE 0 END AS n FROM orders")
+def damaged_documents(spark, sf_dir):
+    """Catalogue documents with arrays, none, a text, half a document, or an object where the array should be, and the records read of each."""
+    key = F.col("o_orderkey")
+    told = F.when(key % 5 == 0, '{"children": [{"id": "a"}, {"id": "b"}]}').when(key % 5 == 1, '{"x": 1}').when(key % 5 == 2, '{"children": "none"}').when(key % 5 == 3, '{"children": [{"id": ').otherwise('{"children": {"id": "a"}}')
+    rows = read(spark, sf_dir, "orders").select(key.alias("park_id"), told.alias("json"))
+    counted = files.children(rows).groupBy("park_id").agg(F.count(F.lit(1)).alias("k"))
+    return rows.join(counted, "park_id", "left").select(F.col("park_id").alias("o_orderkey"), files.document_state(F.col("json"), "children").alias("state"), F.coalesce("k", F.lit(0)).cast("int").alias("n"))
+
+
+@query("""SELECT 'p' || s_suppkey % 3 AS park_id, 'ride and ' || s_suppkey % 40 AS alias, 'c' || s_suppkey % 120 AS canonical_id, 'Ride, ' || s_suppkey % 120 AS canonical_name, CASE WHEN s_suppkey % 4 = 0 THEN 'attraction' ELSE 'show' END AS category FROM supplier GROUP BY ALL""")
+def alias_files(spark, sf_dir):
+    """Suppliers as an alias catalogue written as CSV and read again: names in comparable form, one row for each park and alias."""
+    key = F.col("s_suppkey")
+    rows = read(spark, sf_dir, "supplier").select(
+        F.lit("all").alias("file_date"), F.concat(F.lit("p"), key % 3).alias("park_id"), F.concat(F.when(key % 2 == 0, "Ride & ").otherwise("RIDE and "), key % 40).alias("alias_name"),
+        F.concat(F.lit("c"), key % 120).alias("canonical_attraction_id"), F.concat(F.lit("Ride, "), key % 120).alias("canonical_name"), F.when(key % 4 == 0, "").otherwise("show").alias("category"), F.lit("a \"note\"").alias("notes"),
+    )
+    folder = _scratch(spark)
+    publish.export_csv(rows, folder, files.ALIAS_COLUMNS, name="aliases")
+    return files.aliases(files.read_csv(spark, f"{folder}/aliases_all.csv"))
+
+
+@query("""SELECT 'k' || o_custkey % 7 AS park_id, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey) - 1 AS position, strftime(o_orderdate, '%Y-%m-%d') AS date, CAST(o_orderdate AS TIMESTAMP) + INTERVAL 9 HOUR AS opens,
+    CAST(o_orderdate AS TIMESTAMP) + INTERVAL 22 HOUR AS closes, o_orderkey FROM orders QUALIFY o_orderkey % 6 > 0""".replace(", o_orderkey FROM", " FROM"))
+def schedule_files(spark, sf_dir):
+    """Orders as days of schedule documents: the usable entries, with the date of the opening where there is none."""
+    key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    iso = lambda hour: F.concat(day, F.lit(f"T{hour:02}:00:00Z"))
+    entry = F.struct(F.when(key % 4 > 0, day).alias("date"), F.when(key % 6 > 0, iso(9)).otherwise("soon").alias("openingTime"), iso(22).alias("closingTime"))
+    rows = read(spark, sf_dir, "orders").withColumn("park_id", F.concat(F.lit("k"), F.col("o_custkey") % 7))
+    found = files.schedules(_documents(rows, "schedule", entry, "o_orderkey"), settings=SETTINGS, first_col="first")
+    return found.select("park_id", F.col("position").cast("long").alias("position"), "date", "opens", "closes")
+
+
+@query(obs_sql(f"""SELECT c.file_date, count(*) AS total_rows, any_value(r.n) AS ready_rows, any_value(f.n) AS full_day_closed, any_value(f.d) AS downtime, any_value(d.n) AS duplicate_groups, any_value(k.n) AS conflict_groups FROM cleaned c
+    LEFT JOIN (SELECT file_date, count(*) AS n FROM ready GROUP BY 1) r ON r.file_date = c.file_date LEFT JOIN (SELECT file_date, count(*) FILTER (possible_full_day_closed) AS n, count(*) FILTER (temporary_downtime) AS d FROM rides GROUP BY 1) f ON f.file_date = c.file_date
+    LEFT JOIN (SELECT file_date, count(*) AS n FROM (SELECT file_date, snapshot_ts, park_id, name FROM norm GROUP BY ALL HAVING count(*) > 1) GROUP BY 1) d ON d.file_date = c.file_date
+    LEFT JOIN (SELECT file_date, count(*) AS n FROM (SELECT file_date, snapshot_ts, park_id, canonical_id, access_mode FROM norm GROUP BY ALL HAVING count(*) > 1) GROUP BY 1) k ON k.file_date = c.file_date GROUP BY c.file_date"""))
+def report_files(spark, sf_dir):
+    """The report published as one version and read back."""
+    store = Published(spark, _scratch(spark))
+    store.publish({"report": report(analysis(spark, sf_dir))}, by={"report": "file_date"})
+    return store.read("report").select("file_date", "summary.total_rows", "optimizer.ready_rows", "full_day_closed", "downtime", "duplicate_groups", "conflict_groups")
+
+
+@query("SELECT c_custkey, 's3://bucket/wait-times/' || sha256(c_name) || '/' || c_custkey || '.csv' AS object_uri FROM customer")
+def assumed_uris(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer")
+    return rows.select("c_custkey", lineage.object_uri(F.lit("s3://bucket/"), F.sha2(F.col("c_name").cast("binary"), 256), F.concat(F.col("c_custkey").cast("string"), F.lit(".csv"))).alias("object_uri"))
+
+
+@query("SELECT file_date, row_number() OVER (ORDER BY file_date) AS nth, n FROM (SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS file_date, sum(length(event_type) + 1) + 5 AS n FROM events GROUP BY 1)")
+def file_listing(spark, sf_dir):
+    """Daily files in order of their dates, with their size in bytes (a mark of three, a name and a line feed, then lines)."""
+    rows = read(spark, sf_dir, "events").select(F.to_date(F.col("ts").cast("timestamp")).cast("string").alias("file_date"), F.col("event_type").alias("x"))
+    folder = _scratch(spark)
+    publish.export_csv(rows, folder, ["x"])
+    sizes = lineage.archives(spark.read.format("binaryFile").load(folder)).select("path", F.col("byte_size").alias("n"))
+    # A row for each file and few of them.
+    placed = files.observation_files(spark, folder).join(sizes, "path").withColumn("nth", F.row_number().over(Window.orderBy("file_date")).cast("long"))
+    return placed.select("file_date", "nth", "n")
+
+
+@query("""SELECT event_id, sha256('archive:' || event_id) AS raw_observation_id, ts AS snapshot_ts, value >= 10 AS open, CASE WHEN event_id % 7 > 0 THEN floor(value)::DOUBLE END AS wait FROM events""")
+def typed_records(spark, sf_dir):
+    ts, key = F.col("ts").cast("timestamp"), F.col("event_id")
+    utc = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    raw = read(spark, sf_dir, "events").select("event_id", utc.alias("snapshot_utc"), utc.alias("source_last_updated_utc"), F.when(F.col("value") >= 10, "TRUE").otherwise("FALSE").alias("is_open"), F.when(key % 7 > 0, F.floor("value").cast("string")).otherwise("").alias("wait_time_minutes"))
+    return lineage.raw_records(raw, F.lit("archive"), key).select("event_id", "raw_observation_id", "snapshot_ts", "open", "wait")
+
+
+@query("SELECT event_id, CAST(timezone('America/Los_Angeles', timezone('UTC', ts)) AS DATE) AS park_date FROM events")
+def park_dates(spark, sf_dir):
+    return read(spark, sf_dir, "events").select("event_id", assembly.park_date(F.col("ts").cast("timestamp"), "America/Los_Angeles").alias("park_date"))
+
+
+@query(obs_sql("""s AS (SELECT DISTINCT CAST(CAST(snapshot_ts AS DATE) AS VARCHAR) AS service_date, snapshot_ts FROM obs), RECURSIVE_MARK
+    SELECT k.service_date, k.snapshot_ts, count(*) AS n FROM k JOIN obs o ON o.snapshot_ts = k.snapshot_ts GROUP BY ALL""").replace("\ns AS", ",\ns AS").replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_MARK", """k AS (SELECT service_date, min(snapshot_ts) AS snapshot_ts FROM s GROUP BY 1
+    UNION ALL SELECT * FROM (SELECT k.service_date, (SELECT min(s.snapshot_ts) FROM s WHERE s.service_date = k.service_date AND s.snapshot_ts >= k.snapshot_ts + INTERVAL 10 HOUR) AS snapshot_ts FROM k) WHERE snapshot_ts IS NOT NULL)"""))
+def thinned_snapshots(spark, sf_dir):
+    """The snapshots of each date that are ten hours apart at least, as the stream keeps them."""
+    rows = event_observations(spark, sf_dir).withColumn("service_date", F.to_date("snapshot_ts").cast("string"))
+    none = spark.createDataFrame([], "service_date string, snapshot_ts timestamp")
+    return thinned(rows, none, Settings(min_interval_minutes=600)).groupBy("service_date", "snapshot_ts").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(obs_sql("""SELECT park_id, snapshot_ts, n FROM (SELECT *, told IS DISTINCT FROM lag(told) OVER (PARTITION BY park_id ORDER BY snapshot_ts) OR lag(told) OVER (PARTITION BY park_id ORDER BY snapshot_ts) IS NULL AS changed FROM
+    (SELECT park_id, snapshot_ts, count(*) AS n, string_agg(is_open, ',' ORDER BY is_open) AS told FROM (SELECT * FROM obs WHERE ride_id = '3') GROUP BY ALL)) WHERE changed"""))
+def changed_snapshots(spark, sf_dir):
+    """The snapshots of one ride whose states differ from those of the snapshot before, by signatures that need no order."""
+    none = spark.createDataFrame([], STATE["signatures"])
+    rows, _ = changed(event_observations(spark, sf_dir).where("ride_id = '3'"), none, ["is_open"])
+    return rows.groupBy("park_id", "snapshot_ts").agg(F.count(F.lit(1)).alias("n"))

@@ -29,10 +29,22 @@ def export_csv(rows: DataFrame, folder: str, columns: list[str], name: str = "wa
 
     A value's rows go to one task each, as one file asks for it; the folders that Spark writes are renamed, and other values' files stay.
     """
-    spark = rows.sparkSession
     stage = f"{folder}/_stage-{uuid.uuid4().hex}"
     texts = rows.select(F.col(by).alias("_by"), *[F.col(c).cast("string").alias(MARK + c if k == 0 else c) for k, c in enumerate(columns)])
     texts.repartition("_by").write.partitionBy("_by").options(header=True, emptyValue="", nullValue="", escape='"', maxRecordsPerFile=0).csv(stage)
+    _settle(rows.sparkSession, stage, folder, name)
+
+
+def export_lines(rows: DataFrame, folder: str, line: str, order: str, name: str = "wait_times", by: str = "file_date") -> None:
+    """The same for lines of text, in the order given."""
+    stage = f"{folder}/_stage-{uuid.uuid4().hex}"
+    texts = rows.select(F.col(by).alias("_by"), F.col(order).alias("_at"), F.col(line).alias("value")).repartition("_by").sortWithinPartitions("_by", "_at")
+    texts.select("_by", "value").write.partitionBy("_by").options(maxRecordsPerFile=0).text(stage)
+    _settle(rows.sparkSession, stage, folder, name)
+
+
+def _settle(spark: SparkSession, stage: str, folder: str, name: str) -> None:
+    """Gives the one file of each value its name; an error, and nothing moved for that value, if there are several."""
     fs, path = _files(spark, folder)
     for status in fs.listStatus(path(stage)):
         if status.isDirectory():

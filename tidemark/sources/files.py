@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import Settings
@@ -47,6 +47,41 @@ def raw_observations(spark: SparkSession, folder: str, date: str | None = None)
     return kept.select(*cells, "file_date", F.monotonically_increasing_id().alias("src_row"))
 
 
+_BROKEN = "_broken"
+
+
+def damage(spark: SparkSession, folder: str, date: str | None = None, settings: Settings = Settings()) -> DataFrame:
+    """(file_date, records, short, long, bad_instants, bad_waits, unknown_status) of the daily files: what ``raw_observations`` and ``typed`` read leniently.
+
+    A record is short or long if it has fewer or more cells than its file's header; missing cells are read as empty, surplus
+    ones are not read. Instants and waits that can't be read count unless they are empty, and so does a status that is neither
+    true nor false. Rows without any value are no records.
+    """
+    schema = ", ".join(f"{c} string" for c in [*RAW_COLUMNS, _BROKEN])
+    options = {"header": False, "multiLine": True, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN, "columnPruning": False, "pathGlobFilter": f"wait_times_{date or '*'}.csv"}
+    rows = spark.read.schema(schema).options(**options).csv(folder).withColumn("file_date", F.regexp_extract(F.col("_metadata.file_path"), FILE_DATE, 1)).where("file_date <> ''")
+    # Of a record with another number of cells than there are columns the text is known; cells in quotes may hold commas.
+    cells = F.when(F.col(_BROKEN).isNull(), len(RAW_COLUMNS)).otherwise(F.size(F.split(F.regexp_replace(_BROKEN, '"(?:[^"]|"")*"', "x"), ",")))
+    head = F.ltrim(F.col(RAW_COLUMNS[0]), F.lit("\ufeff")) == RAW_COLUMNS[0]
+    rows = rows.withColumns({"cells": cells, "head": F.coalesce(head, F.lit(False))})
+    heads = rows.where("head").groupBy("file_date").agg(F.max("cells").alias("width"))
+    records = rows.where("not head").na.drop("all", subset=RAW_COLUMNS).join(heads, "file_date", "left").withColumn("width", F.coalesce("width", F.lit(len(RAW_COLUMNS))))
+    filled = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    bad = (filled("snapshot_utc") & F.try_to_timestamp("snapshot_utc").isNull()) | (filled("source_last_updated_utc") & F.try_to_timestamp("source_last_updated_utc").isNull())
+    return records.groupBy("file_date").agg(
+        F.count(F.lit(1)).alias("records"), count(F.col("cells") < F.col("width")).alias("short"), count(F.col("cells") > F.col("width")).alias("long"), count(bad).alias("bad_instants"),
+        count(filled("wait_time_minutes") & numbers.lenient(F.col("wait_time_minutes"), settings.blank_as_zero).isNull()).alias("bad_waits"), count(~F.upper("is_open").isin("TRUE", "FALSE")).alias("unknown_status"),
+    )
+
+
+def document_state(json: Column, field: str) -> Column:
+    """What a JSON document has under a field that should be an array: array, absent, other, or that it is no JSON at all (broken). All but arrays are read as without records."""
+    value = F.try_parse_json(json)
+    kind = F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant"))
+    return F.when(value.isNull(), "broken").when(kind.startswith("ARRAY"), "array").when(kind.isNull() | (kind == "VOID"), "absent").otherwise("other")
+
+
 def with_legacy_defaults(raw: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Older rows get the local times, date and zone that follow from their instants; damaged names are repaired."""
     snapshot, source = F.try_to_timestamp("snapshot_utc"), F.try_to_timestamp("source_last_updated_utc")
@@ -80,13 +115,12 @@ def aliases(rows: DataFrame) -> DataFrame:
     return last.select("park_id", "alias", F.col("x.canonical_attraction_id").alias("canonical_id"), "x.canonical_name", F.coalesce("x.category", F.lit("attraction")).alias("category"))
 
 
-SCHEDULE = "id string, name string, timezone string, schedule array<struct<date: string, type: string, openingTime: string, closingTime: string>>"
+SCHEDULE = "schedule array<struct<date: string, type: string, openingTime: string, closingTime: string>>"
 
 
-def schedules(documents: DataFrame, json_col: str = "json", park_col: str = "park_id", settings: Settings = Settings()) -> DataFrame:
+def schedules(documents: DataFrame, json_col: str = "json", park_col: str = "park_id", settings: Settings = Settings(), first_col: str | None = None) -> DataFrame:
     """(park_id, position, date, opens, closes, opening_time, closing_time) of usable entries; an absent date follows from the opening."""
-    parsed = documents.select(F.col(park_col).alias("park_id"), F.from_json(json_col, SCHEDULE).alias("d"))
-    rows = parsed.select("park_id", F.posexplode("d.schedule").alias("position", "e"))
+    rows = _entities(documents, SCHEDULE, "schedule", json_col, park_col, first_col)
     opens, closes = F.try_to_timestamp("e.openingTime"), F.try_to_timestamp("e.closingTime")
     date = F.coalesce(F.nullif("e.date", F.lit("")), times.local_date(opens, settings.zone).cast("string"))
     out = rows.select("park_id", "position", date.alias("date"), opens.alias("opens"), closes.alias("closes"), F.col("e.openingTime").alias("opening_time"), F.col("e.closingTime").alias("closing_time"))
