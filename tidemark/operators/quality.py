@@ -9,6 +9,7 @@ from tidemark.config import Settings
 from tidemark.functions import times
 from tidemark.operators.observations import has_flag, is_stale
 from tidemark.operators.ordered import Ordered
+from tidemark.workspace import Workspace
 
 # What is recommended, in this order; the last one always.
 ADVICE = {
@@ -40,8 +41,11 @@ def _distinct(rows: DataFrame, by: list[str], name: str, *columns: str) -> DataF
 def summary(cleaned: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Per file date: rows, distinct snapshots, rides and attractions, and rows by state and use.
 
-    Each distinct count has an aggregation of its own, so no row is multiplied by the number of counts.
+    Each distinct count has an aggregation of its own, so no row is multiplied by the number of counts. The few columns that they
+    read are written once.
     """
+    columns = ["file_date", "snapshot_ts", "park_id", "ride_key", "canonical_id", "training_eligibility", "is_open", "wait", "age_ms", "is_single_rider", "is_entertainment"]
+    cleaned = Workspace(cleaned.sparkSession, "summary").table(cleaned.select(*columns), "rows")
     use = lambda x: _count(F.col("training_eligibility") == x)
     others = {"stale_rows": _count(is_stale(settings)), "single_rider_rows": _count(F.col("is_single_rider")), "entertainment_rows": _count(F.col("is_entertainment"))}
     uses = {"standby_model_rows": use("standby_wait_model"), "status_only_rows": use("status_model_only")}
@@ -81,10 +85,16 @@ def _groups(rows: DataFrame, keys: list[str], record: list[Column]) -> DataFrame
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count")).where("row_count > 1")
     several = rows.join(sizes, keys).select(*keys, "row_count", "src_row", F.struct(*record).alias("r"))
+    if sizes.where(F.col("row_count") > LISTED).isEmpty():
+        return _listed(several.withColumn("chunk", F.lit(0).cast("long")), keys)
     large = Ordered(several.where(F.col("row_count") > LISTED), keys, ["src_row"]).ordinal("n").frame()
     large = large.withColumn("chunk", F.floor((F.col("n") - 1) / LISTED)).drop("n")
     all_ = several.where(F.col("row_count") <= LISTED).withColumn("chunk", F.lit(0).cast("long")).unionByName(large)
-    return all_.groupBy(*keys, "row_count", "chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("src_row", "r"))), lambda x: x["r"]).alias("records"))
+    return _listed(all_, keys)
+
+
+def _listed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.groupBy(*keys, "row_count", "chunk").agg(F.transform(F.sort_array(F.collect_list(F.struct("src_row", "r"))), lambda x: x["r"]).alias("records"))
 
 
 def duplicate_groups(rows: DataFrame) -> DataFrame:
