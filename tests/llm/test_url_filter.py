@@ -1,6 +1,7 @@
 import datetime
 
 from tidemark.llm.url_filter import judge, validity
+from tidemark.operators import ordered
 
 D = datetime.date
 
@@ -45,3 +46,37 @@ def test_validity(spark):
 def test_empty(spark):
     assert judge(captures(spark, []), lists(spark, ENTRIES)).collect() == []
     assert [r.blocked for r in judge(captures(spark, CAPTURES[:2]), lists(spark, [])).collect()] == [False, False]
+
+
+def test_long_path(spark):
+    """A URL of 20,000 segments, and a pattern of 3,000 of them."""
+    path = "/".join(f"s{i}" for i in range(20_000))
+    deep = "long.com/" + "/".join(f"s{i}" for i in range(3000))
+    rows = [(1, f"http://long.com/{path}", D(2024, 2, 2)), (2, f"http://long.com//{path.replace('s2999/', 'x/')}", D(2024, 2, 2))]
+    got = {r.page_id: (r.pattern, r.n_patterns) for r in judge(captures(spark, rows), lists(spark, [(deep, "add", D(2024, 1, 1)), ("long.com/s0/s1", "add", D(2024, 1, 1))])).collect()}
+    assert got == {1: (deep, 2), 2: ("long.com/s0/s1", 1)}
+
+
+def test_long_intervals_of_many_entries(spark):
+    """Entries that have been valid for 15 years: one row each in what is joined. One host has most captures."""
+    n = 20_000
+    entries = spark.range(n).selectExpr("concat('h', id, '.com') AS pattern", "'add' AS action", "date_add(date'2010-01-01', CAST(id % 30 AS int)) AS day")
+    seen = spark.range(3 * n).selectExpr("id AS page_id", "concat('http://h', CASE WHEN id % 3 = 0 THEN id % 40000 ELSE 7 END, '.com/x') AS url", "date_add(date'2010-01-15', CAST(id % 5500 AS int)) AS fetched_on")
+    got = judge(seen, entries).groupBy("blocked").count().collect()
+    want = {}
+    for i in range(3 * n):
+        h = i % 40000 if i % 3 == 0 else 7
+        hit = h < n and i % 5500 + 14 >= h % 30
+        want[hit] = want.get(hit, 0) + 1
+    assert {r.blocked: r["count"] for r in got} == want
+
+
+def test_one_pattern_over_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "HEAVY_ROWS", 50)
+    monkeypatch.setattr(ordered, "HEAVY_TIMES", 0.5)
+    test_cases(spark)
+    days = [(D(2024, 1, 1) + datetime.timedelta(3 * i), i) for i in range(100)]
+    entries = [("hot.com", "add" if i % 2 == 0 else "remove", d) for d, i in days]
+    rows = [(i, "http://hot.com", D(2024, 1, 1) + datetime.timedelta(i)) for i in range(300)]
+    got = {r.page_id: r.blocked for r in judge(captures(spark, rows), lists(spark, entries)).collect()}
+    assert got == {i: i // 3 % 2 == 0 for i in range(300)}

@@ -4,9 +4,11 @@ The entries of a block list are dated: a pattern is added or removed on a day. T
 capture is judged by the entries that were active when it was fetched (an as-of join). A pattern is a domain, which
 covers its subdomains, or a host and the beginning of a path, in whole segments.
 
-A capture looks its domains and path beginnings up by equality. The join's key has a cell of ``CELL_DAYS`` days
-besides the pattern, so the captures of one very common host are dealt by time as well, and each meets only the few
-intervals of its pattern that touch its cell.
+A capture looks its domains and path beginnings up by their MD5, so a path of very many segments makes one short key for
+each and never all its beginnings as texts; beginnings of more segments than any pattern has aren't looked up. Only keys
+that are on the list go on. They and the beginnings of intervals are put in one order of days for each pattern, spread over
+range partitions where a pattern has very many captures, and each capture takes the last interval that began. So rows don't
+multiply with the length of intervals, and what is broadcast is decided by Spark from the written list's size.
 """
 
 from __future__ import annotations
@@ -15,8 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import RID, Workspace, with_rid
+from tidemark.operators.ordered import Ordered
 
-CELL_DAYS = 32
 _URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)"
 
 
@@ -28,14 +30,21 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(url, _URL, 2)
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """All patterns that would cover the URL: the domains of the host, and the host with each beginning of the path."""
+def plain_path(path: Column) -> Column:
+    """The path without empty segments and without slashes at its ends."""
+    return F.trim(F.regexp_replace(path, "/+", "/"), F.lit("/"))
+
+
+def keys_of(host: Column, plain: Column, most: int) -> Column:
+    """MD5 of all patterns that would cover the URL: the domains of the host, and the host with each beginning of its plain path, of ``most`` segments at most."""
+    none = F.array().cast("array<string>")
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    begun = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(domains, F.when(F.size(parts) > 0, begun).otherwise(F.array().cast("array<string>")))))
+    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: F.md5(F.array_join(F.slice(labels, i, n), ".").cast("binary")))
+    number = F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit("/"), F.lit(""))) + 1)
+    last = F.least(number, F.lit(most))
+    begun = F.transform(F.sequence(F.lit(1), last), lambda i: F.md5(F.concat(host, F.lit("/"), F.call_function("substring_index", plain, F.lit("/"), i)).cast("binary")))
+    return F.when(host == "", none).otherwise(F.array_distinct(F.concat(domains, F.when(last > 0, begun).otherwise(none))))
 
 
 def validity(entries: DataFrame, pattern_col: str = "pattern", action_col: str = "action", day_col: str = "day") -> DataFrame:
@@ -66,15 +75,17 @@ def judge(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_
     rows, _ = with_rid(captures, id_col, ws, url_col, day_col)
     url = F.coalesce(F.col(url_col).cast("string"), F.lit(""))
     rows = rows.select(F.col(RID).alias("rid"), F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path"), F.col(day_col).cast("date").alias("day"))
-    number = lambda d: F.datediff(F.col(d), F.lit("1970-01-01").cast("date"))
-    lists = ws.table(validity(entries), "validity")
-    ends = rows.agg(F.min(number("day")), F.max(number("day"))).first()
-    first, last = (ends[0] or 0), (ends[1] or 0)
-    begin, end = F.greatest(number("since"), F.lit(first)), F.least(F.coalesce(number("until") - 1, F.lit(last)), F.lit(last))
-    cells = lambda a, b: F.sequence(F.floor(a / CELL_DAYS), F.floor(b / CELL_DAYS))
-    dealt = lists.where(begin <= end).withColumn("cell", F.explode(cells(begin, end)))
-    asked = rows.where("day is not null").select("rid", "day", F.explode(keys_of(F.col("host"), F.col("path"))).alias("pattern")).withColumn("cell", F.floor(number("day") / CELL_DAYS))
-    hit = asked.join(dealt, ["pattern", "cell"]).where("since <= day and (until is null or day < until)")
+    lists = ws.table(validity(entries).withColumn("key", F.md5(F.col("pattern").cast("binary"))), "validity")
+    slashes = F.length("pattern") - F.length(F.replace("pattern", F.lit("/"), F.lit("")))
+    most = lists.agg(F.max(slashes)).first()[0] or 0
+    url_keys = rows.where("day is not null").select("rid", "day", "host", plain_path(F.col("path")).alias("path"))
+    asked = url_keys.select("rid", "day", F.explode(keys_of(F.col("host"), F.col("path"), most)).alias("key"))
+    asked = ws.table(asked.join(lists.select("key").distinct(), "key", "left_semi"), "asked")
+    turn = F.struct("pattern", "since", "until").alias("turn")
+    begun = lists.select("key", F.col("since").alias("day"), F.lit(False).alias("asks"), F.lit(None).cast("long").alias("rid"), turn)
+    both = asked.select("key", "day", F.lit(True).alias("asks"), "rid", F.lit(None).cast(begun.schema["turn"].dataType).alias("turn")).unionByName(begun)
+    met = Ordered(both, ["key"], ["day", "asks", "rid"]).last("now", F.col("turn")).frame()
+    hit = met.where("asks and now is not null and (now.until is null or day < now.until)").select("rid", "now.pattern", "now.since")
     best = F.min(F.struct((-F.length("pattern")).alias("m"), "pattern", "since")).alias("b")
     hits = ws.table(hit.groupBy("rid").agg(best, F.count(F.lit(1)).alias("n_patterns")), "hits")
     out = rows.join(hits, "rid", "left")
