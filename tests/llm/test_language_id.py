@@ -18,7 +18,7 @@ def test_held_out_accuracy(spark):
 
 
 def test_features_do_not_depend_on_slices(monkeypatch):
-    texts = ["Über die Brücke", "", "a1b  c!", "lang " * 300, "z"]
+    texts = ["Über die Brücke", "", "a1b  c!", "lang " * 300, "z", "a\0b nul\0 " * 20, "a\0b"]
 
     def total():
         n = np.zeros((len(texts), L.BUCKETS), int)

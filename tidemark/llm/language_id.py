@@ -20,7 +20,7 @@ from tidemark.llm.common import mix
 
 #: Features: a power of two. Orders 1 to MAX_N are used. ALPHA is added to each count.
 BUCKETS, MAX_N, ALPHA = 1 << 16, 4, 0.5
-#: About so many training rows for each language at most, taken by a hash of id and text: a bound on the fit alone.
+#: About so many training rows for each language at most, taken by a hash of id and text, so that copies of a text are taken one by one: a bound on the fit alone.
 TRAIN_ROWS = 4000
 UNKNOWN = "und"
 SLICE_CHARS = 1 << 20
@@ -80,17 +80,17 @@ class Features:
             yield out, own
 
     def _slice(self, held):
-        # A blank on either side of each part, a zero between parts that no n-gram crosses.
-        joined = "".join(f" {part.lower()} \0" for _, part in held)
-        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        end = code == 0
+        # A blank on either side of each part, and an end, told by its place, that no n-gram crosses. A text's own NUL is a blank.
+        parts = [f" {part.lower()} \0" for _, part in held]
+        code = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        end = np.zeros(len(code), bool)
+        end[np.cumsum([len(part) for part in parts]) - 1] = True
         code = np.where(end, 0, self.letters[code]).astype(np.uint32)
         keep = np.ones(len(code), bool)
         keep[1:] = (code[1:] != _BLANK) | (code[:-1] != _BLANK)
         code, end = code[keep].astype(np.uint64), end[keep]
-        # Zeros inside of texts became blanks above only if they are not ends: a text's own NUL splits it, which is harmless.
         owner = np.cumsum(end) - end
-        which = np.array([k for k, part in held for _ in range(part.count("\0") + 1)])
+        which = np.array([k for k, _ in held])
         out, own = [], []
         h, ok = np.zeros(len(code), np.uint64), np.ones(len(code), bool)
         with np.errstate(over="ignore"):
@@ -136,19 +136,19 @@ class Model:
         return names[np.where(letter, total.argmax(1), -1)], np.where(letter, score, 0.0)
 
 
-def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
+def fit(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> Model:
     """A model of the rows' languages; rows with null text or language are left out.
 
-    The fit takes about ``train_rows`` rows of a language, chosen by a hash of the text; the priors count all rows.
+    The fit takes about ``train_rows`` rows of a language, chosen by a hash of the id and the text; the priors count all rows.
     The driver gets at most languages x BUCKETS counts.
     """
-    rows = rows.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     found = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not found:
         return Model([], np.zeros(0), np.zeros((0, BUCKETS)))
     share = F.create_map(*[F.lit(x) for lang, n in found.items() for x in (lang, min(1.0, train_rows / n))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
-    counted = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    sample = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
+    counted = sample.select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     languages = sorted(found)
     counts = np.full((len(languages), BUCKETS), ALPHA)
     got = counted.toArrow()
@@ -220,5 +220,5 @@ def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learns from the rows that are not held out and predicts all rows: (id, held_out, lang_pred, score)."""
-    model = fit(training_rows(docs, id_col), text_col, lang_col)
+    model = fit(training_rows(docs, id_col), text_col, lang_col, id_col=id_col)
     return predict(docs, model, id_col, text_col).select(id_col, F.coalesce(fold(id_col) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
