@@ -6,69 +6,17 @@ run again, are written as Parquet under the shared folder of the cluster (``spar
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.workspace import Workspace, shuffle_partitions  # noqa: F401  for the operators of this subpackage
+
 #: White space of the contracts: blank and the control characters 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 RID = "__row_number"
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where none is configured and all runs on one machine, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if "dir" not in _own_dir:
-        _own_dir["dir"] = tempfile.mkdtemp(prefix="tidemark-")
-    return _own_dir["dir"]
-
-
-class Workspace:
-    """A folder of written tables for one operator call.
-
-    ``table`` writes a DataFrame once and returns it as read back, so its lineage ends there. ``drop`` deletes tables
-    no longer needed; the others go when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        atexit.register(self._delete, self.root)
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.read(name, df)
-
-    def read(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, *names: str) -> None:
-        for name in names:
-            self._delete(f"{self.root}/{name}")
-
-    def _delete(self, path: str) -> None:
-        try:
-            jvm = self.spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended: nothing left to delete with
-            return
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
 
 def with_rid(docs: DataFrame, id_col: str, ws: Workspace, *keep: str) -> tuple[DataFrame, bool]:
     """``docs`` cut to ``keep`` with a unique non-null long ``__row_number`` beside the id.

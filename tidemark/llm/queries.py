@@ -107,7 +107,7 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the turns and of the texts under the loss, read back from the windows of each conversation; one more conversation holds the marks themselves."""
     marks = "\\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", marks), (-7, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(marks).alias("text"))
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
     back = chat_format.read_back(chat_format.format_conversations(rows))
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
