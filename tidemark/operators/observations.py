@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Settings
 from tidemark.functions import names, times
 from tidemark.operators.ordered import Ordered
+from tidemark.workspace import Workspace
 
 # The order in which a training use is preferred; what is stale comes after all others.
 PRIORITY = {
@@ -24,38 +25,49 @@ FLAGS = ["closed", "open_zero", "stale_source", "single_rider", "likely_entertai
 WITH_WEIGHT = ["standby_wait_model", "single_rider_optimizer_reference"]
 
 
-def normalize(rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
-    """Names in comparable form, the age of the source, and the canonical attraction.
+def named(rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Everything that follows from a park and a ride's name, for each pair that ``rows`` has: comparable forms, what the name says, and the catalogue's match.
 
     ``aliases`` (park_id, alias, canonical_id, canonical_name, category) has one row for each park and alias; a match of
-    the whole name goes before one of the base name, and without a match the base name itself makes the identity. The
-    catalogue is small beside the rows; whether it is broadcast is left to its measured size.
+    the whole name goes before one of the base name.
     """
     name = F.col("ride_name")
-    rows = rows.withColumns(
-        {
-            "age_ms": times.age_millis(F.col("snapshot_ts"), F.col("source_ts")),
-            "is_single_rider": names.is_single_rider(name),
-            "is_entertainment": names.is_entertainment(name),
-            "base_ride_name": names.base_name(name),
-            "name": names.catalog_name(name),
-        }
-    ).withColumn("base", names.catalog_name(F.col("base_ride_name")))
-    rows = rows.withColumn("access_mode", F.when(F.col("is_single_rider"), "single_rider").otherwise("standby"))
-    known = F.coalesce(F.nullif("base", F.lit("")), F.nullif("name", F.lit("")), F.col("ride_id"), F.lit("unknown"))
+    told = rows.select("park_id", "ride_name").distinct().withColumns(
+        {"is_single_rider": names.is_single_rider(name), "is_entertainment": names.is_entertainment(name), "base_ride_name": names.base_name(name), "name": names.catalog_name(name)}
+    )
+    told = told.withColumn("base", names.catalog_name(F.col("base_ride_name")))
+    told = told.withColumn("own_name", F.coalesce(F.nullif("base", F.lit("")), F.nullif("name", F.lit("")))).withColumn("own_slug", F.when(F.col("own_name").isNotNull(), names.slug(F.col("own_name"))))
+    found = "struct<canonical_id: string, canonical_name: string, category: string>"
+    if aliases is None:
+        return told.withColumns({"_exact": F.lit(None).cast(found), "_base": F.lit(None).cast(found)})
+    match = F.struct("canonical_id", "canonical_name", "category")
+    for key, as_ in (("name", "_exact"), ("base", "_base")):
+        told = told.join(aliases.select("park_id", F.col("alias").alias(key), match.alias(as_)), ["park_id", key], "left")
+    return told
+
+
+def normalize(rows: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Names in comparable form, the age of the source, and the canonical attraction.
+
+    Names repeat in each snapshot, so they are worked out once for each park and name (see ``named``) and written; whether that
+    table is broadcast is left to its true size. Without a match in the catalogue the base name itself makes the identity.
+    """
+    told = Workspace(rows.sparkSession, "names").table(named(rows, aliases), "names")
+    told = told.withColumnsRenamed({"park_id": "_park_id", "ride_name": "_ride_name"})
+    same = F.col("park_id").eqNullSafe(F.col("_park_id")) & F.col("ride_name").eqNullSafe(F.col("_ride_name"))
+    rows = rows.join(told, same, "left").drop("_park_id", "_ride_name")
+    # A row whose name has no letter or digit is known by its id.
+    known = F.coalesce("own_name", "ride_id", F.lit("unknown"))
     own = {
-        "canonical_id": F.concat("park_id", F.lit("-"), names.slug(known)),
+        "canonical_id": F.concat("park_id", F.lit("-"), F.coalesce("own_slug", names.slug(known))),
         "canonical_name": F.coalesce(F.nullif("base_ride_name", F.lit("")), F.nullif("ride_name", F.lit("")), known),
         "category": F.when(F.col("is_entertainment"), "entertainment").otherwise("attraction"),
     }
-    if aliases is None:
-        return rows.withColumns(own | {"match_source": F.lit("auto_normalized")})
-    found = F.struct("canonical_id", "canonical_name", "category")
-    for key, as_ in (("name", "_exact"), ("base", "_base")):
-        rows = rows.join(aliases.select("park_id", F.col("alias").alias(key), found.alias(as_)), ["park_id", key], "left")
     best = F.coalesce("_exact", "_base")
     said = F.when(F.col("_exact").isNotNull(), "alias_exact").when(F.col("_base").isNotNull(), "alias_base").otherwise("auto_normalized")
-    return rows.withColumns({c: F.when(best.isNotNull(), best[c]).otherwise(v) for c, v in own.items()} | {"match_source": said}).drop("_exact", "_base")
+    made = {c: F.when(best.isNotNull(), best[c]).otherwise(v) for c, v in own.items()} | {"match_source": said}
+    made |= {"access_mode": F.when(F.col("is_single_rider"), "single_rider").otherwise("standby"), "age_ms": times.age_millis(F.col("snapshot_ts"), F.col("source_ts"))}
+    return rows.withColumns(made).drop("_exact", "_base", "own_name", "own_slug")
 
 
 RIDE_KEY = ["file_date", "park_id", "ride_key"]
