@@ -100,9 +100,13 @@ def occurrences(met: DataFrame, similarity: float) -> DataFrame:
     """
     met = met.withColumn("shift", F.col("pos") - F.col("at"))
     one = met.withColumn("level", F.lit(0))
+    # Shifts that are at most ``reach`` apart are in one bucket or in neighbours, so a window meets only the shifts near its own.
     reach = F.ceil(F.col("words") * (1 - similarity)).cast("long")
-    around = met.withColumn("shift", F.explode(F.sequence(F.col("shift") - reach, F.col("shift") + reach))).withColumn("level", F.lit(1))
-    around = around.join(met.select("rid", "item", "shift").distinct(), ["rid", "item", "shift"], "left_semi")
+    bucket = F.floor(F.col("shift") / F.greatest(reach, F.lit(1)))
+    centres = met.select("rid", "item", F.col("shift").alias("centre"), bucket.alias("b")).distinct()
+    centres = centres.select("rid", "item", "centre", F.explode(F.array(F.col("b") - 1, "b", F.col("b") + 1)).alias("bucket"))
+    around = met.withColumn("bucket", bucket).join(centres, ["rid", "item", "bucket"]).where(F.abs(F.col("shift") - F.col("centre")) <= reach)
+    around = around.withColumn("shift", F.col("centre")).drop("bucket", "centre").withColumn("level", F.lit(1))
     whole = met.withColumn("shift", F.lit(0).cast("long"))
     return one.unionByName(around).unionByName(whole.withColumn("level", F.lit(2))).unionByName(whole.where("not same").withColumn("level", F.lit(3)))
 
