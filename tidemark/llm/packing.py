@@ -297,7 +297,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     histogram = np.zeros(capacity + 1, np.int64)
     for n, c in counts.groupBy("length").agg(F.sum("count")).collect():
         histogram[n] = c
-    ranked = pieces.join(before, ["length", "part"]).withColumn("rank", F.col("number") + F.col("before")).drop("before")
+    # By a shuffle: both sides grow with the corpus, and the size of the file of `before` says little about its size in memory.
+    ranked = pieces.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("number") + F.col("before")).drop("before")
     kept = ranked.select("rid", "piece", "start", "length", "ids_crc32", "part", "number", "rank")
     placed = kept.mapInArrow(_places(plan(histogram, capacity, groups, small)), "rid long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     if is_id:
