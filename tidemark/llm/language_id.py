@@ -23,7 +23,8 @@ BUCKETS, MAX_N, ALPHA = 1 << 16, 4, 0.5
 #: About so many training rows for each language at most, taken by a hash of id and text, so that copies of a text are taken one by one: a bound on the fit alone.
 TRAIN_ROWS = 4000
 UNKNOWN = "und"
-SLICE_CHARS = 1 << 20
+#: Characters worked on at once: what a worker holds is some 150 bytes for each of them.
+SLICE_CHARS = 1 << 18
 _BLANK = 32
 
 

@@ -14,7 +14,8 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-SLICE_BYTES = 2 << 20
+#: Bytes of text worked on at once: a worker holds several arrays of eight bytes for each of them.
+SLICE_BYTES = 1 << 19
 
 
 def _powers(n: int) -> np.ndarray:
