@@ -124,3 +124,29 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "test"))
     expected = {x: find(x) for a, b in edges if a != b for x in (a, b)}
     assert dict(map(tuple, got.collect())) == expected and got.count() == len(expected)
+
+
+def test_hubs_are_not_paired_again(spark, monkeypatch):
+    """Of a list, the members but for its hub go on to be paired: of lists of two unlike members none do, of one of three two do."""
+    from tidemark.llm import components as module
+
+    lists = [(k, [2 * k, 2 * k + 1]) for k in range(1, 20)] + [(0, [100, 101, 102])]
+    rows = [(k, rid, 10, held[0], 10) for k, held in lists for rid in held]
+    entries = spark.createDataFrame(rows, "list long, rid long, n long, hub long, hub_n long")
+    links, seen, asked, pairs = {(2, 3), (101, 102)}, [], [], module.open_pairs
+
+    def spy(members, *args):
+        seen.extend((r.list, r.rid) for r in members.collect())
+        return pairs(members, *args)
+
+    def measure(wanted, tag):
+        found = [tuple(r) for r in wanted.select("a", "b").collect()]
+        asked.extend(found)
+        return spark.createDataFrame([(a, b, 9, None, (a, b) in links) for a, b in found], "a long, b long, low long, high long, link boolean")
+
+    monkeypatch.setattr(module, "open_pairs", spy)
+    yes = lambda x, y: module.F.lit(True)
+    out = module.link_lists(entries, 0.5, lambda x, y: module.F.lit(99), yes, yes, measure, Workspace(spark, "test"))
+    assert sorted(map(tuple, out.collect())) == [(2, 2), (3, 2), (101, 101), (102, 101)]
+    assert len(asked) == len(set(asked)) == 19 + 3
+    assert sorted(seen) == [(0, 101), (0, 102)]

@@ -90,8 +90,8 @@ def link_lists(entries: DataFrame, ratio: float, room: Callable, may: Callable,
     (a, b, low, high, link) of pairs (a, b): bounds of the distance, high is null if unknown, and whether it is within the room.
 
     First each member is compared with the hub of its list only, a number of pairs linear in the lists. What these
-    links connect needs no more comparing: after that, a pair is looked at only if it stands in one list and its ends are in
-    different components. So large groups of near copies are never paired among themselves, and still no link
+    links connect needs no more comparing: after that, a pair is looked at only if it stands in one list, without its hub,
+    and its ends are in different components. So large groups of near copies are never paired among themselves, and still no link
     between components is missed. Answers are also derived from the hub's: a distance is a metric, so the distances
     of both ends from a common hub bound theirs, which decides many pairs without comparing them.
     """
@@ -102,15 +102,17 @@ def link_lists(entries: DataFrame, ratio: float, room: Callable, may: Callable,
     told = ws.table(measure(pairs1, "first"), "told1")
     linked = told.where("link").select("a", "b")
     known = components(linked, ws, "cc1")
-    named = entries.select("list", "rid", "hub", *extra).join(known.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    # Of the hub's own pairs in its list each is measured or can't be a link, so only the others are paired among themselves:
+    # lists of two, which chance makes ever more of as a corpus grows, are done with.
+    rest = entries.where(F.col("rid") != F.col("hub")).select("list", "rid", "hub", *extra)
+    named = rest.join(known.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
     named = ws.table(named, "named")
     mixed = named.groupBy("list").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("list")
     open_ = ws.table(named.join(mixed, "list", "left_semi"), "open")
     ws.drop("named")
     # The hub's answers: how far each member is from it, as far as that was measured.
     far = told.select(F.col("a").alias("rid"), F.col("b").alias("hub"), "low", "high").unionByName(told.select(F.col("b").alias("rid"), F.col("a").alias("hub"), "low", "high"))
-    zero = F.when(F.col("rid") == F.col("hub"), F.lit(0).cast("long"))
-    members = open_.join(far, ["rid", "hub"], "left").select("list", "rid", *extra, "component", F.coalesce(zero, "low", F.lit(0).cast("long")).alias("low"), F.coalesce(zero, "high").alias("high"))
+    members = open_.join(far, ["rid", "hub"], "left").select("list", "rid", *extra, "component", F.coalesce("low", F.lit(0).cast("long")).alias("low"), "high")
 
     def undecided(x, y):
         below = F.greatest(x("low") - y("high"), y("low") - x("high"), F.lit(0).cast("long"))
