@@ -84,6 +84,17 @@ def test_lineage_of_one_key(many):
     assert got == want
 
 
+def test_lineage_deals_rows_once(spark):
+    """Both sides by one exchange, an id that follows from the order after it; null keys match nothing."""
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4), (None, 5)], "k string, src_row long")
+    ids = F.concat(F.lit("r"), F.col("src_row").cast("string"))
+    got = lineage.matched(rows.where("src_row <> 1").withColumn("more", F.col("src_row") * 10), rows, ["k"], raw_id=ids)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and " concat(r, " not in plan[plan.index("Exchange ") :]
+    assert got.columns == ["k", "ordinal", "src_row", "more", "raw_observation_id"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 1, 2, 20, "r1"), ("a", 2, 3, 30, "r2"), ("b", 1, 4, 40, "r4"), (None, 1, 5, 50, None)], key=str)
+
+
 def test_changes_of_one_ride(many):
     states = [random.Random(9 + i).random() < 0.5 for i in range(1500)]
     rows = many.createDataFrame([("d", "p", "1", "Ride", "ride", i // 3, i, s) for i, s in enumerate(states)], "file_date string, park_id string, ride_id string, ride_name string, name string, t long, src_row long, is_open boolean")

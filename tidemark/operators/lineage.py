@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import ANALYZER_VERSION, RAW_VERSION, ZONE
@@ -67,11 +69,23 @@ def access_mode(mode: Column) -> Column:
     return F.when(mode.isin(ACCESS_MODES), mode).otherwise("other")
 
 
-def matched(cleaned: DataFrame, raw: DataFrame, keys: list[str] | None = None, order: str = "src_row") -> DataFrame:
-    """Cleaned rows with the ``raw_observation_id`` they come from: equal keys, the n-th to the n-th. Rows without one have null."""
-    keys = keys or IDENTITY
-    ours, theirs = with_ordinal(cleaned, keys, [order]), with_ordinal(raw, keys, [order])
-    return ours.join(theirs.select(*keys, "ordinal", "raw_observation_id"), [*keys, "ordinal"], "left")
+def matched(cleaned: DataFrame, raw: DataFrame, keys: list[str] | None = None, order: str | list[str] = "src_row", raw_id: Column | None = None) -> DataFrame:
+    """Cleaned rows with the ``raw_observation_id`` they come from: equal keys, the n-th to the n-th. Rows without one have null.
+
+    ``raw_id`` gives the id from columns of ``raw`` among the keys and the order; without it the column of that name is taken.
+    Both sides are dealt by the keys together, once: the numbers and then the ids are windows over rows that lie together already,
+    unless a key is heavy. An id that follows from the order isn't shuffled, and no column is twice.
+    """
+    keys, order = keys or IDENTITY, [order] if isinstance(order, str) else order
+    taken = [] if raw_id is not None else ["raw_observation_id"]
+    ours = cleaned.drop("raw_observation_id", "ordinal").withColumn("_raw", F.lit(False))
+    theirs = raw.select(*dict.fromkeys([*keys, *order, *taken])).withColumn("_raw", F.lit(True))
+    both = Ordered(ours.unionByName(theirs, allowMissingColumns=True), [*keys, "_raw"], order, dealt=keys).ordinal("ordinal").frame()
+    if raw_id is not None:
+        both = both.withColumn("raw_observation_id", F.when(F.col("_raw"), raw_id))
+    here = F.when(reduce(Column.__and__, [F.col(c).isNotNull() for c in keys]), F.max("raw_observation_id").over(Window.partitionBy(*keys, "ordinal")))
+    columns = [c for c in ours.columns if c not in keys and c != "_raw"]
+    return both.withColumn("raw_observation_id", here).where("not _raw").select(*keys, "ordinal", *columns, "raw_observation_id")
 
 
 def normalized_ids(rows: DataFrame, version: str = ANALYZER_VERSION) -> DataFrame:

@@ -32,13 +32,15 @@ class Ordered:
     ``order`` should tell rows apart: rows that are equal in it stay in one block, in no defined order. Nulls come first,
     and null keys are a key. Columns of ``rows`` mustn't begin with two underscores. One small job counts the buckets at
     once. Blocks are written, as the borders of a range partitioning may differ when it is planned again.
+
+    With ``dealt``, some of the keys, light rows are dealt by these alone, so all of them stay together for what follows.
     """
 
-    def __init__(self, rows: DataFrame, keys: Sequence[str], order: Sequence[str]):
+    def __init__(self, rows: DataFrame, keys: Sequence[str], order: Sequence[str], dealt: Sequence[str] | None = None):
         spark = rows.sparkSession
         self.keys, self.order, self.columns = list(keys), list(order), rows.columns
         parts = shuffle_partitions(spark)
-        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(parts * BUCKETS))
+        bucket = F.pmod(F.xxhash64(*(dealt or self.keys)), F.lit(parts * BUCKETS))
         counts = {r.b: r.n for r in rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()}
         least = max(HEAVY_ROWS, HEAVY_TIMES * sum(counts.values()) / (parts * BUCKETS))
         heavy = [b for b, n in counts.items() if n > least]
@@ -47,6 +49,8 @@ class Ordered:
             self.light = rows.where(~bucket.isin(heavy))
             ranged = rows.where(bucket.isin(heavy)).repartitionByRange(parts, *self.keys, *self.order)
             self.blocks = Workspace(spark, "ordered").table(ranged.withColumn(BLOCK, F.spark_partition_id()), "blocks")
+        if dealt:
+            self.light = self.light.repartition(*dealt)
         self._local: dict = {}  # by window function over a block or a key: made from the windows in rising and falling order
         self._edges: dict[str, Column] = {}  # by aggregate of a block
         self._carried: dict[str, Column] = {}  # by window function over a key's blocks

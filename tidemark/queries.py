@@ -320,10 +320,9 @@ _LINE_ORDER = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_dis
     c AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY {', '.join(_LINE_ORDER)}) AS ordinal FROM lineitem WHERE l_returnflag <> 'N')
     SELECT c.l_orderkey, c.l_linenumber, ordinal, c.l_extendedprice, sha256(r.l_orderkey || ':' || r.l_linenumber || ':' || r.l_partkey || ':' || r.l_suppkey) AS raw_observation_id FROM c LEFT JOIN r USING (l_orderkey, l_linenumber, ordinal)""")
 def lineage_match(spark, sf_dir):
-    order = F.struct(*_LINE_ORDER).alias("src_row")
-    lines = read(spark, sf_dir, "lineitem").select(*_LINE, *_LINE_ORDER, order)
-    raw = lines.withColumn("raw_observation_id", lineage.content_id(*[F.col(c).cast("string") for c in [*_LINE, "l_partkey", "l_suppkey"]]))
-    return lineage.matched(lines.where("l_returnflag <> 'N'"), raw, _LINE).select(*_LINE, "ordinal", "l_extendedprice", "raw_observation_id")
+    lines = read(spark, sf_dir, "lineitem").select(*_LINE, *_LINE_ORDER)
+    raw_id = lineage.content_id(*[F.col(c).cast("string") for c in [*_LINE, "l_partkey", "l_suppkey"]])
+    return lineage.matched(lines.where("l_returnflag <> 'N'"), lines, _LINE, _LINE_ORDER, raw_id).select(*_LINE, "ordinal", "l_extendedprice", "raw_observation_id")
 
 
 @query("SELECT DISTINCT CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS file_date FROM lineitem WHERE CAST(l_shipdate AS DATE) NOT IN (SELECT CAST(o_orderdate AS DATE) FROM orders)")
