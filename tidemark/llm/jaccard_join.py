@@ -102,8 +102,8 @@ def _levels(parts: int, bits: int):
     def run(batches):
         counts: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part, tokens, more in zip(*(batch.column(c).to_pylist() for c in ("part", "tokens", "more"))):
-                lo = _edge(part, parts, bits)
+            for part, tokens, more in zip(batch.column("part").to_pylist(), batch.column("tokens"), batch.column("more")):
+                lo, tokens, more = _edge(part, parts, bits), tokens.as_buffer(), more.as_buffer()
                 held = counts.setdefault(part, np.zeros(_edge(part + 1, parts, bits) - lo, np.int64))
                 extra = np.frombuffer(more, np.uint32).reshape(2, -1)
                 held[np.frombuffer(tokens, np.uint32) - lo] += 1  # each bucket once in a row
