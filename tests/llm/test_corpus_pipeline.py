@@ -41,3 +41,15 @@ def test_run_and_odd_rows(spark, odd, repeated, tmp_path):
         read(spark, D, "benchmark").write.parquet(f"{tmp_path}/{k}/benchmark.parquet")
         got = {r.doc_id for r in corpus_pipeline.run(spark, f"{tmp_path}/{k}").collect()}
         assert got == [{1, 6, 7, 9, 11}, {1}, set()][k]
+
+
+def test_batches_of_texts_are_small(spark):
+    """Larger batches are made smaller before the first stage, smaller ones stay."""
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    try:
+        for given, then in (("10000", "1000"), ("0", "1000"), ("50", "50")):
+            spark.conf.set(corpus_pipeline.BATCH, given)
+            corpus_pipeline._small_batches(spark)
+            assert spark.conf.get(corpus_pipeline.BATCH) == then
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, before)
