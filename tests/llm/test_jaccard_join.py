@@ -150,3 +150,33 @@ def test_hubs_are_not_paired_again(spark, monkeypatch):
     assert sorted(map(tuple, out.collect())) == [(2, 2), (3, 2), (101, 101), (102, 101)]
     assert len(asked) == len(set(asked)) == 19 + 3
     assert sorted(seen) == [(0, 101), (0, 102)]
+
+
+def test_blocks_of_a_long_list_meet_in_proportion_to_it(spark, monkeypatch):
+    """Near copies of the hub and members that reach no size of the list are skipped as blocks; one early member meets all copies."""
+    from tidemark.llm import components as module
+
+    met, pairs = [], module.block_pairs
+
+    def spy(blocks, can):
+        met.append(pairs(blocks, can).count())
+        return pairs(blocks, can)
+
+    monkeypatch.setattr(module, "block_pairs", spy)
+    may = lambda x, y: (x("n") <= y("reach")) & (y("n") <= x("reach"))
+    can = lambda x, y: (x("lo_n") <= y("hi_reach")) & (y("lo_n") <= x("hi_reach"))
+    for k in (128, 256):
+        near, late, early = range(1, k + 1), range(1000, 1000 + 3 * k), 5000
+        rows = [(7, rid, 100, reach, 0, 100, 120) for some, reach in ((near, 110), (late, 90), ((0, early), 120)) for rid in some]
+        entries = spark.createDataFrame(rows, "list long, rid long, n long, reach long, hub long, hub_n long, hub_reach long")
+        asked = []
+
+        def measure(wanted, tag):
+            found = [tuple(r) for r in wanted.select("a", "b").collect()]
+            asked.extend(found)
+            return spark.createDataFrame([(a, b, 1, None, b != early or a == 1) for a, b in found], "a long, b long, low long, high long, link boolean")
+
+        out = module.link_lists(entries, 0.5, lambda x, y: module.F.lit(99), may, can, measure, Workspace(spark, "test"))
+        assert sorted(map(tuple, out.collect())) == [(rid, 0) for rid in (0, *near, early)]
+        assert sorted(asked) == sorted([(0, rid) for rid in (*near, early)] + [(rid, early) for rid in near])
+    assert met == [2, 4]

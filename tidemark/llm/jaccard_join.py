@@ -266,19 +266,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entries = ws.table(ordered.mapInArrow(_lists, "list long, rid long, n long, pos long, hub long, hub_n long, hub_pos long"), "entries")
     bitmaps = features.select("rid", "n", "bits")
 
-    entries = entries.withColumn("part", F.floor(F.log2(F.col("pos") + 1)))
+    def reach(n, pos):
+        # The shared shingle and what follows it is the most that a set can share with another: the largest size for which that is enough.
+        return F.expr(f"({n} - {pos}) * {100 + percent} div {percent} - {n}").alias(n.removesuffix("n") + "reach")
+
+    entries = entries.select("list", "rid", "n", reach("n", "pos"), "hub", "hub_n", reach("hub_n", "hub_pos"))
 
     def room(x, y):
         return x("n") + y("n") - 2 * needed(x("n"), y("n"), percent)
 
     def may(x, y):
-        # The shared shingle and what follows it in the shorter rest is the most that the sets can share.
-        most = F.least(x("n") - x("pos"), y("n") - y("pos"))
-        return most >= needed(x("n"), y("n"), percent)
+        return (x("n") <= y("reach")) & (y("n") <= x("reach"))
 
     def can(x, y):
-        most = F.least(x("hi_n") - x("lo_pos"), y("hi_n") - y("lo_pos"))
-        return most >= needed(x("lo_n"), y("lo_n"), percent)
+        return (x("lo_n") <= y("hi_reach")) & (y("lo_n") <= x("hi_reach"))
 
     def measure(pairs: DataFrame, tag: str) -> DataFrame:
         told = ws.table(_join_ends(pairs, bitmaps).mapInArrow(_near_bits(percent), "a long, b long, low long, close boolean"), f"bits-{tag}")
